@@ -109,12 +109,12 @@ def sentence_loss(model: BigramModel, pairs: DataFrame, keys: list[str]) -> Data
 
     Every distinct pair is scored once; the occurrences then take its loss.
     """
-    distinct = pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("_w"))
+    distinct = pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("_seen"))
     scored = materialize(
-        with_probability(model, to_ids(distinct, model.vocabulary)).select("prev", "next", "_w", (-F.ln("p")).alias("nll")),
+        with_probability(model, to_ids(distinct, model.vocabulary)).select("prev", "next", "_seen", (-F.ln("p")).alias("nll")),
         "scored",
     )
-    rows = lookup(pairs.select(*keys, "prev", "next"), scored, ["prev", "next"], weight="_w", how="inner")
+    rows = lookup(pairs.select(*keys, "prev", "next"), scored, ["prev", "next"], weight="_seen", how="inner")
     loss = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tok"), F.avg("nll").alias("loss"))
     return loss.withColumn("ppl", perplexity(F.col("loss")))
 
