@@ -19,17 +19,15 @@ def dense_index(df: DataFrame, *order: Column | str, name: str = "row_index", st
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     stored = materialize(ranged.withColumn("_slot", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_slot", _SLOT_BITS).alias("_part")
-    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    part = F.shiftright("_slot", _SLOT_BITS).cast("int")
+    sizes = dict(stored.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect())  # a row per partition
+    offsets, total = [], start
+    for i in range(max(sizes, default=0) + 1):
+        offsets.append(total)
+        total += sizes.get(i, 0)
+    starts = F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<long>")  # folded to one constant
     place = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    return (
-        stored.withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
-        .join(F.broadcast(offsets), "_part")  # at most one row per shuffle partition
-        .withColumn(name, F.col("_offset") + place + F.lit(start))
-        .drop("_part", "_slot", "_offset")
-    )
+    return stored.withColumn(name, F.get(starts, part) + place).drop("_slot")
 
 
 def following(df: DataFrame, group: str, block: Column, order: list[str], value: str, name: str = "next") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.scores import perplexity
 from seqloom.functions.text import BOS, END, EOS, LANGUAGE_MARKERS, PAD, next_pairs, sequence_key
 from seqloom.operators.lookup import lookup
-from seqloom.operators.vocabulary import freeze, number_vocabulary
+from seqloom.operators.vocabulary import number_vocabulary
 from seqloom.session import materialize
 
 UNK_ID, END_ID = LANGUAGE_MARKERS.index("<UNK>"), LANGUAGE_MARKERS.index(END)
@@ -55,7 +55,7 @@ def train(pairs: DataFrame, seq: tuple[Column | str, ...], cut: int = 1, weight:
         "pairs",
     )
     words = raw.groupBy(F.col("next").alias("tok")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    vocabulary = freeze(number_vocabulary(words, LANGUAGE_MARKERS, cut))
+    vocabulary = number_vocabulary(words, LANGUAGE_MARKERS, cut)
     numbered = to_ids(raw.select("prev", "next", "n"), vocabulary)
     bigrams = materialize(
         numbered.groupBy(F.col("prev_id").alias("prev"), F.col("next_id").alias("next")).agg(F.sum("n").alias("n")),

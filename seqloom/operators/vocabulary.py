@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import EOS, UNK, sequence_key, until
 from seqloom.operators.index import dense_index
 from seqloom.operators.lookup import lookup
-from seqloom.session import materialize
 
 
 def token_counts(tokens: DataFrame, token: str = "tok") -> DataFrame:
@@ -98,7 +97,3 @@ def in_vocabulary(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def vocabulary_size(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.agg(F.count(F.lit(1)).alias("size"))
 
-
-def freeze(vocabulary: DataFrame) -> DataFrame:
-    """Store a fitted vocabulary for repeated use."""
-    return materialize(vocabulary, "vocabulary")

@@ -24,7 +24,7 @@ def document_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """
     docs = table(spark, folder, "documents")
     words = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "tok"))
-    return voc.freeze(voc.fit_vocabulary(words, ("doc_id", "pos"), LANGUAGE_MARKERS))
+    return voc.fit_vocabulary(words, ("doc_id", "pos"), LANGUAGE_MARKERS)
 
 
 def id_text(encoded: DataFrame, name: str = "ids") -> DataFrame:

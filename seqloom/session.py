@@ -7,11 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Largest table, measured in memory, that the library sends to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest table, in bytes of its files, that the library sends to every executor. Files are
+# compressed; a table of this size stays in the low hundreds of MB in memory.
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", app: str = "seqloom", partitions: int = 8) -> SparkSession:
@@ -61,9 +60,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def table_bytes(df: DataFrame) -> int:
-    """In-memory size of a table of scalars, from its rows and the bytes of its strings."""
-    text = [c.name for c in df.schema.fields if isinstance(c.dataType, T.StringType)]
-    width = 24 * len(df.columns) + 16
-    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text]
-    row = df.agg(F.count(F.lit(1)), *sizes).first()
-    return row[0] * width + sum(row[1:])
+    """Size of a table as the optimizer knows it: for a written table, the bytes of its files
+    scaled to the selected columns. Reading it starts no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
