@@ -55,17 +55,17 @@ def until(words: Column, stop: str | int, inclusive: bool = False) -> Column:
     return F.when(at > 0, F.slice(words, 1, keep)).otherwise(words)
 
 
-def sequence_key(*parts: Column | str) -> Column:
-    """One exact number that sorts like the given non-negative parts.
+def sequence_key(first: Column | str, *rest: Column | str) -> Column:
+    """One exact number that sorts like the given non-negative parts, at most three.
 
     A number, unlike a struct, can be the buffer of a hash aggregate, so ``min`` over it needs
-    no sort. Every part after the first must be an INT.
+    no sort. The first part may be any BIGINT, the others are INT and share one BIGINT.
     """
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    key = cols[0].cast("decimal(38,0)")
+    cols = [F.col(p) if isinstance(p, str) else p for p in (first, *rest)]
+    low = F.lit(0).cast("long")
     for part in cols[1:]:
-        key = (key * F.lit(2**31).cast("decimal(10,0)") + part.cast("decimal(10,0)")).cast("decimal(38,0)")
-    return key
+        low = F.shiftleft(low, 31) + part.cast("int")
+    return cols[0].cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
 
 
 def let(value: Column, body) -> Column:

@@ -20,7 +20,7 @@ def scan_tagged(spark, folder):
 
 def document_contexts(spark, folder) -> DataFrame:
     """Every word of the documents with the word before it; its tag is the document's language."""
-    docs = tables.table(spark, folder, "documents").select("doc_id", "lang", tokens("text", False).alias("words"))
+    docs = tables.documents(spark, folder).select("doc_id", "lang", tokens("text", False).alias("words"))
     tags = F.array_repeat("lang", F.size("words"))
     return tagger.with_context(docs.withColumn("tags", tags), ["doc_id", "lang"], tags="tags")
 
@@ -31,7 +31,7 @@ def tagger_train(spark, folder):
 
 def tag_predict(spark, folder):
     model = tagger.train_tagger(document_contexts(spark, folder))
-    talk = tables.table(spark, folder, "conversations")
+    talk = tables.conversations(spark, folder)
     keys = ["conv_id", "turn"]
     asked = tagger.with_context(talk.select(*keys, tokens("text", False).alias("words")), keys)
     return tagger.predict(model, asked).select(*keys, "pos", "word", "tag")

@@ -17,7 +17,7 @@ from seqloom.plans.language import bigram_report, document_model
 from seqloom.plans.text import document_vocabulary, id_text, marked_lines
 from seqloom.session import scratch_path
 from seqloom.sources import model_dir
-from seqloom.sources.tables import document_lines, table
+from seqloom.sources.tables import document_lines, documents
 from seqloom.streaming.encode import read_encoded, run_encoder, table_stream
 
 KEYS = ["doc_id", "line_no"]
@@ -51,7 +51,7 @@ def seeded_shuffle(spark, folder):
 
 def shuffled_batches(spark, folder):
     """Documents in random batches of one epoch."""
-    docs = table(spark, folder, "documents").select("doc_id")
+    docs = documents(spark, folder).select("doc_id")
     placed = batching.seeded_order(docs, "doc_id", SEED, EPOCH)
     return placed.select("doc_id", F.floor(F.col("place") / BATCH).alias("batch_id"))
 

@@ -9,7 +9,7 @@ from seqloom.functions.text import LANGUAGE_MARKERS, append_eos, next_pairs, sen
 from seqloom.operators import vocabulary as voc
 from seqloom.plans import sql
 from seqloom.sources.corpus import tokenize as add_tokens
-from seqloom.sources.tables import conversation_lines, document_lines, table, turn_pairs
+from seqloom.sources.tables import conversation_lines, conversations, document_lines, documents, turn_pairs
 
 
 def marked_lines(lines: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def document_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
     Line breaks are white space, so whole texts give the words in the order of the lines.
     """
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     words = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "tok"))
     return voc.fit_vocabulary(words, ("doc_id", "pos"), LANGUAGE_MARKERS)
 
@@ -91,7 +91,7 @@ def encode_known(spark, folder):
 
 
 def talk_counts(spark, folder):
-    talk = table(spark, folder, "conversations")
+    talk = conversations(spark, folder)
     return voc.token_counts(talk.select(F.explode(tokens("text")).alias("tok")))
 
 

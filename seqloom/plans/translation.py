@@ -15,7 +15,7 @@ from seqloom.plans.text import id_text
 from seqloom.session import materialize, scratch_path
 from seqloom.sources.corpus import parse_lexicon
 from seqloom.sources.model_dir import load_model, save_model
-from seqloom.sources.tables import table, turn_pairs
+from seqloom.sources.tables import conversations, turn_pairs
 
 KEYS = ["conv_id", "turn"]
 EPOCHS = 3
@@ -58,7 +58,7 @@ def fitted_lexicon(spark, folder, text: translation.ParallelText) -> DataFrame:
 
 def lexicon_fit(spark, folder):
     fitted = fitted_lexicon(spark, folder, training_text(spark, folder))
-    return fitted.select("src_id", "trg_id", F.round("prob", 6).alias("prob"), "clipped")
+    return fitted.select("src_id", "trg_id", F.round("prob", 8).alias("prob"), "clipped")
 
 
 def lexicon_lookup(spark, folder):
@@ -73,10 +73,10 @@ def lexicon_lookup(spark, folder):
         ),
         "distributions",
     )
-    words = table(spark, folder, "conversations").select(*KEYS, F.posexplode(tokens("text")).alias("pos", "tok"))
+    words = conversations(spark, folder).select(*KEYS, F.posexplode(tokens("text")).alias("pos", "tok"))
     encoded = encode_tokens(words, text.src_vocabulary).withColumnRenamed("id", "src_id")
     sized = lookup(encoded, whole, ["src_id"], weight="n_targets")
-    return sized.select(*KEYS, "pos", "tok", "n_targets", F.round("unk_prob", 6).alias("unk_prob"))
+    return sized.select(*KEYS, "pos", "tok", "n_targets", F.round("unk_prob", 8).alias("unk_prob"))
 
 
 def named_lexicon(table_: DataFrame, text: translation.ParallelText) -> DataFrame:
@@ -122,7 +122,7 @@ def glossed(spark, folder) -> DataFrame:
     """Every user turn, answered or not, word by word."""
     text = training_text(spark, folder)
     trained, _ = translation.train_lexicon(text, KEYS, EPOCHS)
-    asked = table(spark, folder, "conversations").where(F.col("role") == "user").select(*KEYS, "text")
+    asked = conversations(spark, folder).where(F.col("role") == "user").select(*KEYS, "text")
     return translation.gloss(asked, KEYS, text, trained)
 
 
@@ -298,14 +298,14 @@ dev_loss{k} AS (
 SQL = {
     "scan_parallel": f"WITH {_PAIRS} SELECT conv_id, turn, src, trg FROM prs",
     "scan_lexicon": f"WITH {_PAIRS}, {_LEXICON} SELECT trg, src, prob FROM rows_",
-    "lexicon_fit": f"{_FITTED} SELECT src_id, trg_id, round(prob, 6) AS prob, clipped FROM fitted",
+    "lexicon_fit": f"{_FITTED} SELECT src_id, trg_id, round(prob, 8) AS prob, clipped FROM fitted",
     "lexicon_lookup": f"""{_FITTED},
 whole AS (
   SELECT sv.id AS src_id, count(*) AS n_targets,
     sum(CASE WHEN trg_id IS NULL THEN 1.0 WHEN trg_id = 0 THEN prob ELSE 0.0 END) AS unk_prob
   FROM sv LEFT JOIN fitted ON src_id = sv.id GROUP BY sv.id),
 {sql.spread("asked", "conversations", "conv_id, turn", sql.words("text"))}
-SELECT conv_id, turn, pos, asked.tok, n_targets, round(unk_prob, 6) AS unk_prob
+SELECT conv_id, turn, pos, asked.tok, n_targets, round(unk_prob, 8) AS unk_prob
 FROM asked LEFT JOIN sv ON sv.tok = asked.tok JOIN whole ON src_id = coalesce(sv.id, 0)""",
     "ibm1_lexicon": _IBM1,
     "ibm1_resume": _IBM1,

@@ -6,27 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import SCORE_SEPARATOR, TAG_SEPARATOR, tokens
+from seqloom.session import table_bytes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
+    """A table of texts, spread over all cores when it is too small to fill them by itself.
+
+    Words multiply the rows of a scan, so a table of a few file splits would leave most cores
+    idle. A table with a split for every core is left as it is.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    split = 16 * 1024 * 1024
+    return df.repartition(cores, *keys) if table_bytes(df) < cores * split else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return text_table(spark, folder, "documents", "doc_id")
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return text_table(spark, folder, "conversations", "conv_id", "turn")
+
+
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, line_no, lang, text)``, one row per line of a document."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
 def conversation_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(conv_id, turn, line_no, role, text)``"""
-    talk = table(spark, folder, "conversations")
+    talk = conversations(spark, folder)
     return talk.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
 def turn_pairs(spark: SparkSession, folder: str, first: str = "user", second: str = "assistant") -> DataFrame:
     """Parallel corpus ``(conv_id, turn, src, trg)``: a turn and the answer to it, whole texts."""
-    talk = table(spark, folder, "conversations")
+    talk = conversations(spark, folder)
     src = talk.where(F.col("role") == first).select("conv_id", "turn", F.col("text").alias("src"))
     trg = talk.where(F.col("role") == second).select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("trg")
@@ -36,13 +57,13 @@ def turn_pairs(spark: SparkSession, folder: str, first: str = "user", second: st
 
 def tagged_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, text)`` where every word carries the language of its document: ``word_lang``."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     tagged = F.transform(tokens("text", lowercase=False), lambda w: F.concat(w, F.lit(TAG_SEPARATOR), F.col("lang")))
     return docs.select("doc_id", F.array_join(tagged, " ").alias("text"))
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return table(spark, folder, "labels").join(docs, "doc_id")
 
 
