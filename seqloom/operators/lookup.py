@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import BROADCAST_BYTES, materialize, table_bytes
+from seqloom.session import BROADCAST_BYTES, fits, materialize
 
 HEAD_ROWS = 100_000
 HEAD_KEY_BYTES = 128
@@ -27,7 +27,7 @@ def lookup(
     that hot keys never meet in one task; only the rest of the rows is shuffled. Without a weight
     the join is left to adaptive execution, which splits skewed partitions.
     """
-    if table_bytes(table) <= limit:
+    if fits(table, limit):
         return facts.join(F.broadcast(table), on, how)
     if weight is None:
         return facts.join(table, on, how)

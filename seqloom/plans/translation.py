@@ -94,7 +94,7 @@ def ibm1_resume(spark, folder):
     """Each epoch is a run of its own: it loads the last snapshot, makes one step and saves the next."""
     text = training_text(spark, folder)
     path = scratch_path(spark, "ibm1")
-    cells = materialize(translation.cells(text.pairs, KEYS), "cells")
+    cells = materialize(translation.cells(translation.distinct_pairs(text.pairs)), "cells")
     for epoch in range(1, EPOCHS + 1):
         before = None if epoch == 1 else load_model(spark, path, ["lexicon"])["lexicon"]
         after, _ = translation.em_step(cells, before, translation.uniform(text))
@@ -142,7 +142,8 @@ def lexicon_rescore(spark, folder):
     """
     text = training_text(spark, folder)
     trained, _ = translation.train_lexicon(text, KEYS, EPOCHS)
-    cells = materialize(translation.cells(text.pairs, KEYS), "cells")
+    once = translation.distinct_pairs(text.pairs)
+    cells = translation.cells(once)
     # Only targets that stand in the pair are scored, so the lexicon is joined on both words.
     mixed = (
         cells.join(trained, ["s", "t"])
@@ -157,7 +158,7 @@ def lexicon_rescore(spark, folder):
     done = lexicon.rescore(scores, ["pair"], weight=0.5)
     names = text.trg_vocabulary.select(F.col("id").alias("t"), F.col("tok").alias("trg"), F.col("n").alias("_w"))
     named = lookup(done, names, ["t"], weight="_w")
-    members = translation.pair_members(text.pairs, KEYS)
+    members = translation.pair_members(text.pairs, once, KEYS)
     rounded = [F.round(c, 6).alias(c) for c in ("mixed", "bias", "p_bias", "linear")]
     return named.join(members, "pair").select(*KEYS, "trg", *rounded)
 

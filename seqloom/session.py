@@ -7,10 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest table, in bytes of its files, that the library sends to every executor. Files are
-# compressed; a table of this size stays in the low hundreds of MB in memory.
-BROADCAST_BYTES = 8 * 1024 * 1024
+# Largest table, measured in memory, that the library sends to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", app: str = "seqloom", partitions: int = 8) -> SparkSession:
@@ -59,7 +60,31 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a table as the optimizer knows it: for a written table, the bytes of its files
-    scaled to the selected columns. Reading it starts no job."""
+def file_bytes(df: DataFrame) -> int:
+    """Size of a table as the optimizer knows it: the bytes of its files. It starts no job, and
+    as files are compressed it says how large a table is at least."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table of scalars takes at most ``limit`` bytes in memory.
+
+    Files above the limit answer at once; else rows and string bytes are counted.
+    """
+    if file_bytes(df) > limit:
+        return False
+    text = [c.name for c in df.schema.fields if isinstance(c.dataType, T.StringType)]
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text]
+    row = df.agg(F.count(F.lit(1)), *sizes).first()
+    return row[0] * (32 + 16 * len(df.columns)) + sum(row[1:]) <= limit
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores when a table is too small to fill them by itself.
+
+    Generators multiply rows, so a table of a few file splits would leave most cores idle. A
+    table with a split for every core is left as it is, which bounds what this shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = 16 * 1024 * 1024
+    return df.repartition(cores, *keys) if file_bytes(df) < cores * split else df

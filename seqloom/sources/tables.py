@@ -6,31 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import SCORE_SEPARATOR, TAG_SEPARATOR, tokens
-from seqloom.session import table_bytes
+from seqloom.session import spread_small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
-    """A table of texts, spread over all cores when it is too small to fill them by itself.
-
-    Words multiply the rows of a scan, so a table of a few file splits would leave most cores
-    idle. A table with a split for every core is left as it is.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    split = 16 * 1024 * 1024
-    return df.repartition(cores, *keys) if table_bytes(df) < cores * split else df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return text_table(spark, folder, "documents", "doc_id")
+    return spread_small(table(spark, folder, "documents"), "doc_id")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return text_table(spark, folder, "conversations", "conv_id", "turn")
+    return spread_small(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
