@@ -11,7 +11,7 @@ def value(spark, column, **cells):
     return row.select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize("gap", [" ", "\t", "　", " ", "\x1c", " ", " \t "])
+@pytest.mark.parametrize("gap", [" ", "\t", "\u3000", "\u00a0", "\x1c", "\u2003", " \t "])
 def test_tokens_split_at_unicode_space(spark, gap):
     line = f"{gap}Ein{gap}Zwei{gap}"
     assert value(spark, tx.tokens("a"), a=line) == ["ein", "zwei"]
