@@ -60,14 +60,12 @@ def greedy_paths(model: BigramModel, gen_limit: int = 50) -> DataFrame:
     length = 1
     while length < gen_limit:
         paths = materialize(paths.withColumn("tail", F.element_at("path", -1)), "paths")
+        # Ended paths, the largest group with one tail, stay out of the join.
+        ended = paths.where(F.col("tail") == END_ID).select("state", "path")
         more = paths.select(F.col("state").alias("tail"), F.col("path").alias("more"))
-        grown = paths.join(more, "tail", "left")
-        paths = grown.select(
-            "state",
-            F.when(F.col("more").isNull(), F.col("path"))
-            .otherwise(F.slice(F.concat("path", "more"), 1, gen_limit))
-            .alias("path"),
-        )
+        grown = lookup(paths.where(F.col("tail") != END_ID), more, ["tail"])
+        longer = F.slice(F.concat("path", "more"), 1, gen_limit)
+        paths = grown.select("state", longer.alias("path")).unionByName(ended)
         length *= 2
     return materialize(paths, "paths")
 

@@ -15,7 +15,7 @@ from seqloom.operators.vocabulary import encode_tokens, gather
 from seqloom.plans import sql
 from seqloom.plans.language import bigram_report, document_model
 from seqloom.plans.text import document_vocabulary, id_text, marked_lines
-from seqloom.session import scratch_path
+from seqloom.session import materialize, scratch_path
 from seqloom.sources import model_dir
 from seqloom.sources.tables import document_lines, documents
 from seqloom.streaming.encode import read_encoded, run_encoder, table_stream
@@ -27,7 +27,8 @@ SEED, EPOCH = 7, 2
 
 def document_batches(spark, folder) -> DataFrame:
     lines = marked_lines(document_lines(spark, folder)).select(*KEYS, F.size("toks").alias("n_tok"))
-    return batching.length_batches(lines, "n_tok", KEYS, BATCH)
+    # Range partitioning reads its input twice; the lengths are small, the texts are not.
+    return batching.length_batches(materialize(lines, "lengths"), "n_tok", KEYS, BATCH)
 
 
 def length_batches(spark, folder):

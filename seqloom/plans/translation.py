@@ -12,7 +12,7 @@ from seqloom.operators.softmax import group_softmax
 from seqloom.operators.vocabulary import encode_tokens
 from seqloom.plans import sql
 from seqloom.plans.text import id_text
-from seqloom.session import materialize, scratch_path
+from seqloom.session import materialize, scratch_path, spread_small
 from seqloom.sources.corpus import parse_lexicon
 from seqloom.sources.model_dir import load_model, save_model
 from seqloom.sources.tables import conversations, turn_pairs
@@ -35,13 +35,13 @@ def training_text(spark, folder) -> translation.ParallelText:
 def lexicon_lines(spark, folder) -> DataFrame:
     """``text`` with ``trg src prob``: in how many pairs two words meet, as a share of the source word.
 
-    The lines come from the distinct words of each pair, two generators over its arrays.
+    The lines come from the distinct words of each different pair, two generators over its arrays.
     """
-    pairs = turn_pairs(spark, folder).select(
-        F.array_distinct(tokens("src")).alias("s"), F.array_distinct(tokens("trg")).alias("t")
-    )
-    met = pairs.select("t", F.explode("s").alias("src")).select("src", F.explode("t").alias("trg"))
-    counts = materialize(met.groupBy("src", "trg").agg(F.count(F.lit(1)).alias("n")), "met")
+    words = [F.array_sort(F.array_distinct(tokens(side))).alias(side) for side in ("src", "trg")]
+    once = spread_small(translation.distinct_pairs(turn_pairs(spark, folder).select(*words)), "pair")
+    met = once.select("m", "trg", F.explode("src").alias("s")).select("m", "s", F.explode("trg").alias("t"))
+    counts = met.groupBy(F.col("s").alias("src"), F.col("t").alias("trg")).agg(F.sum("m").alias("n"))
+    counts = materialize(counts, "met")
     totals = counts.groupBy("src").agg(F.sum("n").alias("total"))
     prob = (F.col("n") / F.col("total")).cast("decimal(10,8)").cast("string")
     return counts.join(totals, "src").select(F.concat_ws(" ", "trg", "src", prob).alias("text"))
@@ -105,8 +105,8 @@ def ibm1_resume(spark, folder):
 def aligned_text(spark, folder) -> DataFrame:
     text = training_text(spark, folder)
     trained, _ = translation.train_lexicon(text, KEYS, EPOCHS)
-    aligned = translation.align(text.pairs, KEYS, trained)
-    return report.cut_targets(report.alignment_names(aligned, text.src_vocabulary, text.trg_vocabulary), KEYS)
+    aligned = translation.align(report.cut_targets(text.pairs, translation.EOS_ID), KEYS, trained)
+    return report.alignment_names(aligned, text.src_vocabulary, text.trg_vocabulary)
 
 
 def alignment_long(spark, folder):

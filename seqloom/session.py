@@ -67,14 +67,15 @@ def file_bytes(df: DataFrame) -> int:
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table of scalars takes at most ``limit`` bytes in memory.
+    """Whether a table of scalars and arrays of numbers takes at most ``limit`` bytes in memory.
 
-    Files above the limit answer at once; else rows and string bytes are counted.
+    Files above the limit answer at once; else rows, string bytes and array elements are counted.
     """
     if file_bytes(df) > limit:
         return False
-    text = [c.name for c in df.schema.fields if isinstance(c.dataType, T.StringType)]
-    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text]
+    text = [F.octet_length(c.name) for c in df.schema.fields if isinstance(c.dataType, T.StringType)]
+    arrays = [F.size(c.name) * 8 for c in df.schema.fields if isinstance(c.dataType, T.ArrayType)]
+    sizes = [F.coalesce(F.sum(size), F.lit(0)) for size in text + arrays]
     row = df.agg(F.count(F.lit(1)), *sizes).first()
     return row[0] * (32 + 16 * len(df.columns)) + sum(row[1:]) <= limit
 
