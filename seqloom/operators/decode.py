@@ -42,8 +42,9 @@ def top_successors(model: BigramModel, k: int, discount: float = 0.0) -> DataFra
     )
     short = [r[0] for r in frequent.collect()]  # k + 1 ids; one more, as the end token may lose its place
     every = states(model).select("prev", F.explode(F.array(*[F.lit(i) for i in short])).alias("next"))
-    candidates = model.bigrams.select("prev", "next").union(every).distinct()
-    scored = with_probability(model, candidates, "prev", "next")
+    candidates = model.bigrams.unionByName(every.withColumn("n", F.lit(0).cast("long")))
+    candidates = candidates.groupBy("prev", "next").agg(F.max("n").alias("n"))
+    scored = with_probability(model, candidates, "prev", "next", counted="n").drop("n")
     scored = scored.withColumn("p", brevity(F.col("p"), F.col("next") == END_ID, discount))
     best = Window.partitionBy("prev").orderBy(F.round("p", RANK_DIGITS + 3).desc(), "next")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -83,12 +83,25 @@ def to_ids(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs
 
 
-def with_probability(model: BigramModel, pairs: DataFrame, prev: str = "prev_id", following: str = "next_id") -> DataFrame:
-    """Add ``p`` to rows that hold a context id and a target id."""
-    known = model.bigrams.select(F.col("prev").alias(prev), F.col("next").alias(following), F.col("n").alias("_n"))
+def with_probability(
+    model: BigramModel,
+    pairs: DataFrame,
+    prev: str = "prev_id",
+    following: str = "next_id",
+    counted: str | None = None,
+) -> DataFrame:
+    """Add ``p`` to rows that hold a context id and a target id.
+
+    ``counted`` names a column that already holds how often the pair was seen in training; without
+    it the counts are joined.
+    """
     before = model.unigrams.select(F.col("id").alias(prev), F.col("n_prev").alias("_n_prev"))
     after = model.unigrams.select(F.col("id").alias(following), F.col("n_next").alias("_n_next"))
-    out = pairs.join(known, [prev, following], "left")
+    if counted is not None:
+        out = pairs.withColumn("_n", F.col(counted))
+    else:
+        known = model.bigrams.select(F.col("prev").alias(prev), F.col("next").alias(following), F.col("n").alias("_n"))
+        out = pairs.join(known, [prev, following], "left")
     out = lookup(out, before, [prev], weight="_n_prev")
     out = lookup(out, after, [following], weight="_n_next")
     p = model.smoothed(F.col("_n"), F.col("_n_prev"), F.col("_n_next"))
@@ -97,7 +110,7 @@ def with_probability(model: BigramModel, pairs: DataFrame, prev: str = "prev_id"
 
 def bigram_table(model: BigramModel) -> DataFrame:
     """``prev, next, n, p`` with words in place of ids."""
-    scored = with_probability(model, model.bigrams, "prev", "next")
+    scored = with_probability(model, model.bigrams, "prev", "next", counted="n")
     for side in ("prev", "next"):
         names = model.vocabulary.select(F.col("id").alias(side), F.col("tok").alias(f"{side}_tok"), F.col("n").alias("_w"))
         scored = lookup(scored, names, [side], weight="_w").drop("_w")
