@@ -41,8 +41,9 @@ def following(df: DataFrame, group: str, block: Column, order: list[str], value:
     inside = cut.withColumn(name, F.lead(value).over(run)).withColumn(
         "_last", F.lead(F.lit(True), 1, False).over(run) == F.lit(False)
     )
-    firsts = cut.groupBy(group, "_block").agg(F.min(F.struct(*order, value)).alias("_first"))
-    runs = firsts.withColumn("_carry", F.lead(F.col("_first")[value]).over(Window.partitionBy(group).orderBy("_block")))
+    # ``row_number() = 1`` is pruned before the shuffle, so this brings one row per run.
+    firsts = cut.withColumn("_nth", F.row_number().over(run)).where(F.col("_nth") == 1)
+    runs = firsts.withColumn("_carry", F.lead(value).over(Window.partitionBy(group).orderBy("_block")))
     return (
         inside.join(runs.select(group, "_block", "_carry"), [group, "_block"], "left")
         .withColumn(name, F.when(F.col("_last"), F.col("_carry")).otherwise(F.col(name)))
