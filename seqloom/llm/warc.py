@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             nonlocal size
             if waiting:
                 name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.warc.zst"
-                with store.open_output_stream(f"{root}/{name}") as out:
+                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                     for frame in archive(waiting):
                         out.write(frame)
                 made.append((name, len(waiting)))
