@@ -30,7 +30,7 @@ from seqloom.llm.common import fold, id_and_text, mix64, word_hashes
 from seqloom.session import materialize, scratch_path
 
 PARTS, HELD_OUT, DELETED = 7, 2, 3
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 20 << 20
 SHARD_KEYS = 2 << 20
 GRID = 4  # steps of the held-out histogram per power of two
 ROUNDS = 200
@@ -99,6 +99,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("part", fold("doc_id", PARTS).cast("int")).mapInArrow(run, _CHUNK_DDL)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(values, return_inverse=True)
+    return found, at.astype(np.int32)
+
+
 class _Tokens:
     """The tokens of a chunk: keys of words (even) and bigrams (odd), and where each token's keys stand."""
 
@@ -118,8 +123,17 @@ class _Tokens:
         before[1:] = now[:-1]
         before[self.starts] = _START
         pair = mix64(before * _A + now * _B) | _ONE
-        self.keys, place = np.unique(np.concatenate([now, pair]), return_inverse=True)
-        self.word, self.pair = place[: len(now)], place[len(now) :]
+        del before, word
+        words, at_word = _distinct(now)
+        del now
+        pairs, at_pair = _distinct(pair)
+        del pair
+        keys = np.concatenate([words, pairs])
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), dtype=np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
+        self.keys = keys[order]
+        self.word, self.pair = rank[at_word], rank[len(words) + at_pair]
         self.part = np.repeat(np.array(parts), lengths)
 
     def counts(self, keep: np.ndarray) -> np.ndarray:
