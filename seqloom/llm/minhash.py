@@ -35,6 +35,7 @@ K = 64
 T = 36  # at similarity 0.8 a pair has fewer agreements with a probability below 1e-5
 SHINGLE_WORDS = 4
 THRESHOLD = (80, 100)
+OPEN_ROUNDS = 2  # further rounds of leaders before all open pairs are compared
 
 _ROLL = [int(x) | 1 for x in mix64(np.arange(101, 133, dtype=np.uint64))]
 _SEEDS = mix64(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -166,25 +167,84 @@ def links(classes: DataFrame, docs: DataFrame, size: int = SHINGLE_WORDS) -> Dat
     counted = near.groupBy(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
     first = materialize(confirm(_candidates(counted.select("a", "b"), classes), docs, size), "links")
     # Lists with members of several components besides the leader: the pairs across components are still open.
-    label = components(first)
-    named = postings.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    named = _named(postings, components(first))
     lead = leaders.where("members > 2").select("token", F.col("lead.rep").alias("lead"))
-    open_rows = named.join(lead, "token").where(F.col("rep") != F.col("lead"))
-    spans = open_rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = materialize(open_rows.join(spans, "token", "left_semi").drop("lead"), "open")
+    open_rows = named.join(lead, "token").where(F.col("rep") != F.col("lead")).drop("lead")
+    rest = materialize(_spanning(open_rows), "open")
     if rest.isEmpty():
         return first
-    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component")])
-    pairs = (
-        rest.join(other, "token")
-        .where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")))
-        .where(_close_sizes(F.col("n"), F.col("n_b")))
-        .groupBy(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("collisions"))
-    )
-    more = materialize(confirm(_candidates(pairs.select("a", "b"), classes), docs, size), "links")
-    return first.unionByName(more)
+    found = first
+    for _ in range(OPEN_ROUNDS):
+        # Now the member with the fewest shingles of its own leads its list: it is the likest to the others.
+        rest = materialize(_spanning(_possible(rest, docs, size)), "open")
+        lead = F.min(F.struct(F.col("own") / F.col("n"), "rep", "n", "own", "component")).alias("l")
+        led = rest.join(rest.groupBy("token").agg(lead), "token")
+        pairs = led.select(*[F.col(c) for c in _MEMBER], *[F.col(f"l.{c}").alias(f"{c}_b") for c in _MEMBER])
+        found = materialize(found.unionByName(_tested(pairs, classes, docs, size)), "links")
+        rest = _named(rest.drop("component"), components(found))
+    rest = materialize(_spanning(_possible(_spanning(rest), docs, size)), "open")
+    if rest.isEmpty():
+        return found
+    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in _MEMBER])
+    pairs = rest.join(other, ["token"]).where(F.col("rep") < F.col("rep_b"))
+    return found.unionByName(materialize(_tested(pairs, classes, docs, size), "links"))
+
+
+_MEMBER = ["rep", "n", "own", "component"]
+
+
+def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The links among pairs of members (the second one's columns end in ``_b``) of different components."""
+    shared = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
+    wanted = pairs.where((F.col("component") != F.col("component_b")) & _similar(shared, F.col("n"), F.col("n_b")))
+    counted = wanted.groupBy(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
+    collisions = counted.agg(F.count(F.lit(1)).alias("collisions"))
+    return confirm(_candidates(collisions.select("a", "b"), classes), docs, size)
+
+
+def _named(rows: DataFrame, label: DataFrame) -> DataFrame:
+    named = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    return named.withColumn("component", F.coalesce("component", "rep"))
+
+
+def _similar(shared: Column, n_a: Column, n_b: Column) -> Column:
+    part, whole = THRESHOLD
+    return shared * whole >= (n_a + n_b - shared) * part
+
+
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows ``token, rep, n, component`` of lists whose members lie in several components."""
+    spans = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return rows.join(spans.select("token"), "token", "left_semi")
+
+
+def _possible(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The list members that can still link to another, with ``own``, the number of their own shingles.
+
+    A shingle that no other open member holds is shared with none. So two members share at most the smaller
+    of their other shingles. If that leaves a member below the threshold with any of its own size or larger,
+    it is kept only where its list has a smaller one without this flaw that it might link to. In a group of
+    copies edited in many places this leaves those alone that cannot link, without comparing them.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_slices(batches, 1 << 20):
+            found = [shingle_hashes(t, size) for t in texts]
+            reps = np.repeat(np.array(ids, dtype=np.int64), [len(h) for h in found])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(found).view(np.int64))], schema=schema)
+
+    ids = materialize(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    held = by_ids(id_and_text(docs), ids, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+    # A repeated row holds its shingles again: ids are compared, not rows.
+    alone = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    counts = materialize(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
+    stated = rows.select("token", "rep", "n", "component").join(counts, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    left = F.col("n") - F.col("own")
+    marked = materialize(stated.withColumn("near", _similar(left, F.col("n"), F.col("n"))), "marked")
+    smallest = marked.where("near").groupBy("token").agg(F.min("n").alias("least"))
+    could = F.col("near") | (F.col("least") <= left) | _similar(left, F.col("n"), F.col("least"))
+    return marked.join(smallest, "token").where(could).drop("near", "least")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
