@@ -44,7 +44,7 @@ def test_lines_fuzzy_and_equal(documents):
 
 def test_simhash_is_the_majority_of_bits(spark):
     lists = [["a"], ["a", "b", "c"], ["x"] * 40 + ["y"] * 3, ["q", "r"] * 300]
-    df = spark.createDataFrame([(w,) for w in lists], "w array<string>").withColumn("h", line_dedup.word_hashes(F.col("w")))
+    df = spark.createDataFrame([(w,) for w in lists], "w array<string>").withColumn("h", line_dedup.word_hashes(F.col("w"), line_dedup.longer_words(F.col("w"))))
     for hashes, got in df.select("h", line_dedup.simhash(F.col("h"))).collect():
         want = sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert got == want
