@@ -50,6 +50,14 @@ def test_simhash_is_the_majority_of_bits(spark):
         assert got == want
 
 
+def test_lines_meet_after_one_replaced_word(spark):
+    lines = [[f"{'abcdefgh'[k]}word{i}" for i in range(n)] for k, n in enumerate((10, 20, 50, 80))]
+    data = [(2 * k, " ".join(w)) for k, w in enumerate(lines)]
+    data += [(2 * k + 1, " ".join(["changed" if i == 4 else x for i, x in enumerate(w)])) for k, w in enumerate(lines)]
+    got = rows(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {r["doc_id"] for r in got if r["_n_removed"]} == {1, 3, 5, 7}
+
+
 def test_lines_empty_table(documents):
     assert line_dedup.dedup_lines(documents([]).limit(0)).count() == 0
 
