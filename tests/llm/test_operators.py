@@ -58,6 +58,19 @@ def test_lines_meet_after_one_replaced_word(spark):
     assert {r["doc_id"] for r in got if r["_n_removed"]} == {1, 3, 5, 7}
 
 
+def test_lines_of_shared_ids(spark):
+    """Texts without an id or under one id are documents of their own: no line is lost with another text's place."""
+    least, most = -(1 << 63), (1 << 63) - 1
+    data = [(None, "x\ny"), (None, "y\nz"), (7, "p\nq\nr"), (7, "q\nr\ns"), (7, "q\nr\ns"), (least, "x\nk"), (most, "k\nl\nl")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(line_dedup.dedup_lines(docs))
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in data)
+    lines = {i: sorted({(r["text"], r["_n_removed"]) for r in got if r["doc_id"] == i}) for i in (None, 7, least, most)}
+    assert lines[None] in ([("x", 1), ("y\nz", 0)], [("x\ny", 0), ("z", 1)])
+    assert lines[7] in ([("p", 2), ("q\nr\ns", 0)], [("p\nq\nr", 0), ("s", 2)])
+    assert lines[least] == [("k", 1)] and lines[most] == [("l", 2)]
+
+
 def test_lines_empty_table(documents):
     assert line_dedup.dedup_lines(documents([]).limit(0)).count() == 0
 
