@@ -35,10 +35,10 @@ from seqloom.llm.common import fold, id_and_text, mix64, text_slices, word_hashe
 from seqloom.session import materialize
 
 SAMPLE_ROWS = 20_000  # bound of the labelled texts that one fit takes
-CANDIDATES = 400  # bound of the words considered as toxic
 NEGATIVES = 40_000  # bound of the clean words that one fit collects
 HARD = 2_000  # clean words most similar to toxic ones, and as many others, that train the machine
-LANDMARKS = 64  # of either class
+LANDMARKS = 64  # of either class: the rank of the approximation, not a bound of the toxic words
+BESIDE = 64  # toxic words that the clean ones are held against at a time
 WIDTH, STEP = 16, 8  # letters of a unit; longer words are read in overlapping stretches
 DECAY = 0.7
 FLOOR = -1.0
@@ -197,13 +197,26 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w
 
 
+def spread(names: list[str], count: int) -> list[str]:
+    """``count`` of the names, each the one least similar to those before it; the first name begins."""
+    if len(names) <= count:
+        return names
+    chosen, nearest = [0], np.full(len(names), -np.inf)
+    while len(chosen) < count:
+        nearest = np.maximum(nearest, kernel(names, [names[chosen[-1]]])[:, 0])
+        nearest[chosen[-1]] = np.inf
+        chosen.append(int(np.argmin(nearest)))
+    return [names[i] for i in chosen]
+
+
 def train_machine(toxic: dict[str, tuple[float, float]], clean: dict[str, int]) -> Model:
     """Fit on units with the votes of the toxic and clean texts that hold them; of the clean units, those
     most similar to toxic ones are all used, the others thinned out."""
     names, others = list(toxic), list(clean)
-    order = np.argsort(-kernel(others, names).max(axis=1), kind="stable")
+    nearest = np.max([kernel(others, names[i : i + BESIDE]).max(axis=1) for i in range(0, len(names), BESIDE)], axis=0)
+    order = np.argsort(-nearest, kind="stable")
     picked = [others[i] for i in np.concatenate([order[:HARD], order[HARD :: max(1, len(order) // HARD)]])]
-    landmarks = names[:LANDMARKS] + picked[:: max(1, len(picked) // LANDMARKS)][:LANDMARKS]
+    landmarks = spread(names, LANDMARKS) + picked[:: max(1, len(picked) // LANDMARKS)][:LANDMARKS]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     keep = values > 1e-6
     whiten = vectors[:, keep] / np.sqrt(values[keep])
@@ -257,14 +270,13 @@ def _gain(a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
     return np.where(p > base, gain, -gain)
 
 
-def significant(units: list[str], holders: dict[str, set[int]], toxic: set[int], n_texts: int, n_units: int) -> list[str]:
-    """Words whose toxic share is beyond what chance gives among so many words, the clearest first."""
-    a = np.array([len(holders[u] & toxic) for u in units], dtype=float)
-    b = np.array([len(holders[u] - toxic) for u in units], dtype=float)
-    gain = _gain(a, b, len(toxic) / n_texts)
+def significant(a: np.ndarray, b: np.ndarray, base: float, n_units: int) -> np.ndarray:
+    """Places of the words whose toxic share is beyond what chance gives among so many words, the clearest first.
+
+    ``a`` and ``b`` count the toxic and the other texts that hold a word."""
+    gain = _gain(a, b, base)
     order = np.argsort(-gain, kind="stable")
-    needed = np.log(max(n_units, 2)) + 2
-    return [units[i] for i in order[:LANDMARKS] if gain[i] >= needed]
+    return order[gain[order] >= np.log(max(n_units, 2)) + 2]
 
 
 def _sketch(text: str) -> list[int]:
@@ -349,16 +361,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     b = F.col("n") - F.col("a")
     share = F.col("a") / F.col("n")
     gain = F.col("a") * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    top = counts.where((share > base) & (F.col("a") >= 3)).orderBy(F.desc(gain), "unit").limit(CANDIDATES)
-    names = [r["unit"] for r in top.select("unit").collect()]
-    holders: dict[str, set[int]] = {u: set() for u in names}
-    for r in units.where(F.col("unit").isin(names)).select("row", "unit").collect():  # sample_rows x CANDIDATES
+    n_units = counts.count()
+    # The gate of ``significant`` up to rounding: what passes it here is bounded by the words of sample_rows texts.
+    passed = counts.where((share > base) & (F.col("a") >= 3) & (gain >= float(np.log(max(n_units, 2))) + 1.99))
+    top = sorted((r["unit"], r["a"], r["n"]) for r in passed.collect())
+    a_of, n_of = (np.array([r[k] for r in top], dtype=float) for k in (1, 2))
+    chosen_names = [top[i][0] for i in significant(a_of, n_of - a_of, base, n_units)]
+    holders: dict[str, set[int]] = {u: set() for u in chosen_names}
+    names = session.createDataFrame([(u,) for u in chosen_names], "unit string")
+    for r in units.join(F.broadcast(names), "unit").select("row", "unit").collect():  # rows of toxic words in sample_rows texts
         holders[r["unit"]].add(r["row"])
-    chosen_names = significant(names, holders, toxic_ids, len(label), counts.count())
     units_in = Counter(r for u in chosen_names for r in holders[u])
     votes = {u: [(r in toxic_ids, 1 / units_in[r]) for r in sorted(holders[u])] for u in chosen_names}
     toxic = {u: (sum(v for t, v in vs if t), sum(v for t, v in vs if not t)) for u, vs in votes.items()}
-    clean = counts.where(b > 0).where(~F.col("unit").isin(chosen_names))
+    clean = counts.where(b > 0).join(F.broadcast(names), "unit", "left_anti")
     orders = (F.desc("b"), F.asc("unit")), (F.xxhash64("unit"), F.asc("unit"))  # the frequent ones, and others
     halves = [clean.select("unit", b.alias("b")).orderBy(*o).limit(NEGATIVES // 2).collect() for o in orders]
     others = {r["unit"]: r["b"] for half in halves for r in half}

@@ -339,6 +339,28 @@ def test_toxicity_learns_and_tolerates(spark, documents):
     assert kept.columns == docs.columns and kept.where("doc_id = 1000").count() == 0 and kept.where("doc_id = 1004").count() == 1
 
 
+def test_toxicity_learns_more_words_than_landmarks(spark, documents, monkeypatch):
+    rng = np.random.default_rng(6)
+    make = lambda letters, size, n: list({"".join(rng.choice(list(letters), size)) for _ in range(n)})
+    plain, bad = make("aeioulnrst", 6, 300), make("bcdfghjkmpqvwxyz", 8, 90)
+    texts = [" ".join(rng.choice(plain, 30)) + (f" {bad[i // 2 % 90]}" if i % 2 == 0 else "") for i in range(6000)]
+    docs, table = documents(list(enumerate(texts))), spark.createDataFrame([(i, 1 - i % 2) for i in range(6000)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train_machine
+    monkeypatch.setattr(toxicity, "train_machine", lambda toxic, clean: seen.append((toxic, clean)) or train(toxic, clean))
+    model = toxicity.fit(docs, table)
+    assert set(seen[0][0]) == set(bad) and not set(seen[0][1]) & set(bad)
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.scores(docs, model))}
+    held = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((got[i] >= 0.7) == (i % 2 == 0) for i in held)
+
+
+def test_toxicity_landmarks_are_spread():
+    names = ["grumpfox", "grumpfoxy", "grumpfoxx", "blorkhead", "blorkheads", "zzyzzyva"]
+    assert toxicity.spread(names, 6) == names
+    assert {n[:5] for n in toxicity.spread(names, 3)} == {"grump", "blork", "zzyzz"}
+
+
 def test_toxicity_without_labels(spark, documents):
     table = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in rows(toxicity.scores(documents(EDGES), toxicity.fit(documents(EDGES), table)))} == {0.0}
