@@ -58,6 +58,66 @@ def test_lines_meet_after_one_replaced_word(spark):
     assert {r["doc_id"] for r in got if r["_n_removed"]} == {1, 3, 5, 7}
 
 
+def _edited(rng, words, kind, limit):
+    """The line after one kind of edits, as many as stay within ``limit`` characters."""
+    made, spent = list(words), 0
+    for at in rng.permutation(len(words)).tolist():
+        word = made[at]
+        other = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+        cost = {"replace": max(6, len(word or "")), "insert": 7, "delete": len(word or "") + 1, "misspell": 1}[kind]
+        if spent + cost > limit:
+            break
+        spent += cost
+        made[at] = {"replace": other, "insert": f"{word} {other}", "delete": None, "misspell": f"{word[:2]}q{word[3:]}"}[kind]
+    return " ".join(w for w in made if w)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _edited_lines():
+    """``size, kind, share, id`` of pairs within the edit rule by brute force, and the documents: ids ``id`` and ``id + 1``."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = ["".join(rng.choice(letters, rng.integers(4, 9))) for _ in range(3000)]
+    data, cases = [], []
+    for size in (3, 5, 10, 20, 38, 50, 80):
+        for kind in ("replace", "insert", "delete", "misspell"):
+            for share in (0.1, 0.19):
+                for _ in range(4):
+                    words = rng.choice(vocabulary, size).tolist()
+                    line = " ".join(words)
+                    near = _edited(rng, words, kind, share * len(line))
+                    by_words = min(size, len(near.split())) >= 40
+                    a, b = (line.split(), near.split()) if by_words else (line, near)
+                    if line != near and 5 * _edits(a, b) <= max(len(a), len(b)):
+                        cases.append((size, kind, share, len(data)))
+                        data += [(len(data), line), (len(data) + 1, near)]
+    return cases, data
+
+
+def test_lines_recall_against_brute_force(spark):
+    """At least 95 % of each kind of edits; where up to every word of a line is misspelt, at least 25 %."""
+    cases, data = _edited_lines()
+    removed = {r["doc_id"] for r in rows(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"))) if r["_n_removed"]}
+    assert removed <= {i + 1 for *_, i in cases}
+    found = collections.defaultdict(list)
+    for size, kind, share, i in cases:
+        hard = kind == "misspell" and share > 0.1
+        found[kind, hard].append(i + 1 in removed)
+        if not hard:
+            found[size].append(i + 1 in removed)
+    least = {k: 0.25 if k == ("misspell", True) else 0.9 if isinstance(k, int) else 0.95 for k in found}
+    assert len(found) == 12
+    assert not {k: (sum(v), len(v)) for k, v in found.items() if sum(v) < least[k] * len(v)}
+
+
 def test_lines_of_shared_ids(spark):
     """Texts without an id or under one id are documents of their own: no line is lost with another text's place."""
     least, most = -(1 << 63), (1 << 63) - 1
