@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, bpe, language_model, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
+from seqloom.llm import (
+    ann,
+    bpe,
+    language_model,
+    line_dedup,
+    minhash,
+    packing,
+    quality,
+    simhash,
+    spelling,
+    toxicity,
+    url_filter,
+    warc,
+    whitening,
+)
 from seqloom.llm.common import fold, read
 
 
@@ -70,6 +84,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages")).select(*columns)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +109,9 @@ QUERIES = {
         op8_toxicity,
         op9_quality_rules,
         op10_warc,
+        op11_whitening,
+        op12_spelling_variants,
+        op13_simhash,
     )
 }
 
@@ -94,7 +123,7 @@ s AS (
     SELECT doc_id, list_distinct(CASE
         WHEN len(ws) = 0 THEN []
         WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 2), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
     END) AS shingles FROM w
 ),
 e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
@@ -119,11 +148,11 @@ WITH h AS (
 ),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h),
 b AS (
-    SELECT *, array_to_string(list_transform(range(1, 41), i ->
+    SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
         lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS bits FROM f
 )
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-    array_to_string(list_transform(range(0, 32), j -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    array_to_string(list_transform(range(0, 32), lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
         (1 + 16 * bits[5 * j + 1]::INT + 8 * bits[5 * j + 2]::INT + 4 * bits[5 * j + 3]::INT
         + 2 * bits[5 * j + 4]::INT + bits[5 * j + 5]::INT)]), '') AS payload_digest,
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,

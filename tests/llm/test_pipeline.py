@@ -44,7 +44,7 @@ def test_stages_do_what_their_operators_say(spark, tmp_path):
 
 def test_registered_with_sql(spark):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert len({n.split("_")[0] for n in names}) == 10 and "pipeline" in entry.queries()
+    assert len({n.split("_")[0] for n in names}) == 13 and "pipeline" in entry.queries()
     con = duckdb.connect()
     for table in ("documents", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
