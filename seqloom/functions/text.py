@@ -68,6 +68,11 @@ def sequence_key(first: Column | str, *rest: Column | str) -> Column:
     return cols[0].cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
 
 
+def sequence_low(key: Column) -> Column:
+    """The last part of a key of two parts."""
+    return F.pmod(key, F.lit(2**62).cast("decimal(19,0)")).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
     return F.transform(F.array(value), body)[0]

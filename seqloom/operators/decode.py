@@ -6,17 +6,20 @@ line; prompts then take the continuation of their last word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.scores import brevity, hypothesis_step
 from seqloom.functions.text import BOS, until
-from seqloom.operators.language_model import END_ID, NEVER_TARGET, BigramModel, with_probability
+from seqloom.operators.language_model import END_ID, NEVER_TARGET, UNK_ID, BigramModel, with_probability
 from seqloom.operators.lookup import lookup
 from seqloom.operators.vocabulary import gather
-from seqloom.session import materialize
+from seqloom.session import fits, materialize
 
-RANK_DIGITS = 9  # scores that agree to here are ties and go to the lower id
+RANK_DIGITS = 9  # log scores that agree to here are ties and go to the lower id
+BLOCK_STEPS = 5  # beam steps between two written tables
 
 
 def states(model: BigramModel) -> DataFrame:
@@ -46,7 +49,7 @@ def top_successors(model: BigramModel, k: int, discount: float = 0.0) -> DataFra
     candidates = candidates.groupBy("prev", "next").agg(F.max("n").alias("n"))
     scored = with_probability(model, candidates, "prev", "next", counted="n").drop("n")
     scored = scored.withColumn("p", brevity(F.col("p"), F.col("next") == END_ID, discount))
-    best = Window.partitionBy("prev").orderBy(F.round("p", RANK_DIGITS + 3).desc(), "next")
+    best = Window.partitionBy("prev").orderBy(F.round(F.ln("p"), RANK_DIGITS).desc_nulls_last(), "next")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -71,72 +74,110 @@ def greedy_paths(model: BigramModel, gen_limit: int = 50) -> DataFrame:
     return materialize(paths, "paths")
 
 
-def beam_paths(model: BigramModel, beam: int, gen_limit: int) -> DataFrame:
+def beam_paths(model: BigramModel, beam: int, gen_limit: int = 50, bounded: bool = True) -> DataFrame:
     """``state, path, score``: the best hypothesis after each state.
 
-    Each step joins the open hypotheses of all states with their followers and keeps the best
-    ones per state. A finished hypothesis leaves the beam, which shrinks by one. The result is
-    the finished hypothesis with the best score per word, or the best open one when a state has
-    none.
+    A row holds the open hypotheses of a state, at most ``beam``, and its best finished one. Each step
+    continues the open ones with their followers and keeps the best; a finished hypothesis leaves the beam,
+    which shrinks by one. The result is the finished hypothesis with the best score per word, or the best
+    open one when a state has none. A hypothesis that ends in the very last step counts as open.
+
+    Branch and bound: no word adds more than the largest gain ``g`` in the table, so an open hypothesis with
+    score ``s`` after ``n`` words ends at ``g + (s - n g) / gen_limit`` per word at best. A state whose
+    finished one is better is decided. Decided states leave the table, and the loop ends with the last.
     """
     beam = min(beam, model.types)
-    followers = materialize(top_successors(model, beam).select("prev", "next", "p"), "followers")
-    live = states(model).select(
+    gain = hypothesis_step(F.lit(0.0), F.col("p"))
+    listed = top_successors(model, beam).groupBy("prev").agg(F.collect_list(F.struct(F.col("next"), gain.alias("gain"))).alias("_next"))
+    followers = materialize(listed.withColumnRenamed("prev", "_last"), "followers")
+    most = followers.agg(F.max(F.array_max(F.transform("_next", lambda n: n["gain"])))).first()[0] or 0.0
+    joined = F.broadcast(followers) if fits(followers.select("_last", F.col("_next.gain").alias("_next"))) else followers
+    hypothesis = "struct<rank:double,path:array<int>,score:double,last:int>"
+    table = states(model).select(
         F.col("prev").alias("state"),
-        F.col("prev").alias("last"),
-        F.lit(0.0).alias("score"),
-        F.array().cast("array<int>").alias("path"),
+        F.array(F.struct(F.lit(0.0), F.array().cast("array<int>"), F.lit(0.0), "prev").cast(hypothesis)).alias("live"),
         F.lit(beam).alias("room"),
+        F.lit(None).cast(hypothesis).alias("best"),
     )
-    per_state = Window.partitionBy("state")
-    best_first = per_state.orderBy(F.round("score", RANK_DIGITS).desc(), "path")
-    finished = None
-    for step in range(1, gen_limit + 1):
-        grown = live.join(followers.withColumnRenamed("prev", "last"), "last").select(
-            "state",
-            F.col("next").alias("last"),
-            hypothesis_step(F.col("score"), F.col("p")).alias("score"),
-            F.concat("path", F.array("next")).alias("path"),
-            "room",
-        )
-        kept = grown.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= F.col("room"))
-        kept = materialize(kept.drop("rank"), "beam")
-        if step == gen_limit:
-            live = kept
+    decided, step = [], 0
+    while step < gen_limit:
+        for _ in range(min(BLOCK_STEPS, gen_limit - step)):
+            step += 1
+            table = _beam_step(table, joined, step, gen_limit, most if bounded else None)
+        table = materialize(table, "beam")
+        decided.append(table.where(F.size("live") == 0).select("state", "best"))
+        table = table.where(F.size("live") > 0)
+        if table.isEmpty():
             break
-        ended = F.col("last") == END_ID
-        done = kept.where(ended).select("state", "path", "score")
-        finished = done if finished is None else finished.unionByName(done)
-        room = F.col("room") - F.sum(ended.cast("int")).over(per_state)
-        live = kept.withColumn("room", room.cast("int")).where(~ended & (F.col("room") > 0))
-        if live.isEmpty():
-            break
-    open_ones = live.select("state", "path", "score", F.lit(1).alias("open"))
-    pool = open_ones if finished is None else finished.withColumn("open", F.lit(0)).unionByName(open_ones)
-    norm = F.col("score") / F.size("path")
-    choice = per_state.orderBy("open", F.round(norm, RANK_DIGITS).desc(), "path")
-    best = pool.withColumn("rank", F.row_number().over(choice)).where(F.col("rank") == 1)
-    return materialize(best.select("state", "path", norm.alias("score")), "best")
+    left = table.select("state", F.coalesce("best", F.array_min(F.transform("live", _per_word))).alias("best"))
+    best = reduce(DataFrame.unionByName, decided, left)
+    return materialize(best.select("state", "best.path", (F.col("best.score") / F.size("best.path")).alias("score")), "best")
+
+
+def _per_word(h: Column) -> Column:
+    """The hypothesis with its rank by score per word."""
+    return h.withField("rank", -F.round(h["score"] / F.size(h["path"]), RANK_DIGITS))
+
+
+def _beam_step(table: DataFrame, followers: DataFrame, step: int, gen_limit: int, most: float | None) -> DataFrame:
+    """One word more. Rows stay with their state, so that steps in a row need one shuffle."""
+    spread = table.select("state", "room", "best", F.explode_outer("live").alias("_h")).withColumn("_last", F.col("_h.last"))
+    grown = F.transform(
+        "_next",
+        lambda n: F.struct(
+            (-F.round(F.col("_h.score") + n["gain"], RANK_DIGITS)).alias("rank"),
+            F.concat(F.col("_h.path"), F.array(n["next"])).alias("path"),
+            (F.col("_h.score") + n["gain"]).alias("score"),
+            n["next"].alias("last"),
+        ),
+    )
+    grouped = spread.join(followers, "_last", "left").groupBy("state")
+    kept = grouped.agg(F.first("room").alias("room"), F.first("best").alias("best"), F.flatten(F.collect_list(grown)).alias("_grown"))
+    kept = kept.withColumn("_kept", F.slice(F.array_sort("_grown"), F.lit(1), F.greatest("room", F.lit(0))))
+    if step == gen_limit:
+        return kept.select("state", F.col("_kept").alias("live"), "room", "best")
+    is_end = lambda h: h["last"] == END_ID
+    ended = F.transform(F.filter("_kept", is_end), _per_word)
+    kept = kept.withColumn("best", F.array_min(F.array_append(ended, F.col("best"))))
+    kept = kept.withColumn("room", F.col("room") - F.size(ended)).withColumn("_open", F.filter("_kept", lambda h: ~is_end(h)))
+    going = F.col("room") > 0
+    if most is not None:
+        reach = F.lit(most) + (F.get("_open", F.lit(0))["score"] - step * most) / gen_limit
+        going &= F.col("best").isNull() | (-F.round(reach, RANK_DIGITS) <= F.col("best.rank"))
+    nothing = F.filter("_open", lambda h: F.lit(False))
+    return kept.select("state", F.when(going, F.col("_open")).otherwise(nothing).alias("live"), "room", "best")
 
 
 def path_text(model: BigramModel, paths: DataFrame) -> DataFrame:
     """Add ``output``: the words of ``path`` before the end token."""
     words = paths.withColumn("_ids", until(F.col("path"), END_ID))
     spread = words.select("state", F.posexplode_outer("_ids").alias("pos", "id"))
-    named = lookup(spread, model.vocabulary.select("id", "tok", "n"), ["id"], weight="n")
+    named = lookup(spread, model.vocabulary.select("id", "tok"), ["id"])
     text = gather(named, ["state"], "pos", "tok", "_toks")
     text = text.select("state", F.array_join("_toks", " ").alias("output"))
     return paths.join(text, "state")
 
 
+def last_word(words: str) -> Column:
+    return F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(BOS))
+
+
+def asked_states(model: BigramModel, prompts: DataFrame, words: str = "toks") -> DataFrame:
+    """``state``: the last words of the prompts that the model knows, and ``<UNK>`` for the others. Only
+    their paths need to be spelled out."""
+    asked = prompts.select(last_word(words).alias("tok")).distinct()
+    vocabulary = model.vocabulary.select("tok", F.col("id").alias("state"))
+    return vocabulary.where(F.col("state") == UNK_ID).unionByName(vocabulary.join(asked, "tok", "left_semi")).select("state").distinct()
+
+
 def continue_prompts(model: BigramModel, prompts: DataFrame, paths: DataFrame, words: str = "toks") -> DataFrame:
     """Give each prompt the path of its last word; unknown words count as ``<UNK>``."""
-    last = prompts.withColumn("_last", F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(BOS)))
+    last = prompts.withColumn("_last", last_word(words))
     # One row per possible last word: state ids and prompts meet in the vocabulary, not line by line.
-    by_word = model.vocabulary.select(F.col("tok").alias("_last"), F.col("id").alias("state"), "n").join(paths, "state")
+    by_word = model.vocabulary.select(F.col("tok").alias("_last"), F.col("id").alias("state")).join(paths, "state")
     by_word = materialize(by_word, "by_word")
-    unknown = paths.where(F.col("state") == 0).select(*[F.col(c).alias(f"_unk_{c}") for c in paths.columns]).first()
-    out = lookup(last, by_word, ["_last"], weight="n").drop("n", "_last")
+    unknown = paths.where(F.col("state") == UNK_ID).select(*[F.col(c).alias(f"_unk_{c}") for c in paths.columns]).first()
+    out = lookup(last, by_word, ["_last"]).drop("_last")
     for field in paths.schema.fields:
         value = F.lit(unknown[f"_unk_{field.name}"])
         out = out.withColumn(field.name, F.coalesce(field.name, value.cast(field.dataType)))

@@ -30,22 +30,29 @@ def dense_index(df: DataFrame, *order: Column | str, name: str = "row_index", st
     return stored.withColumn(name, F.get(starts, part) + place).drop("_slot")
 
 
-def following(df: DataFrame, group: str, block: Column, order: list[str], value: str, name: str = "next") -> DataFrame:
+def following(
+    df: DataFrame, group: str, block: Column, order: list[str], value: str, name: str = "next", first: str | None = None
+) -> DataFrame:
     """The next ``value`` inside each group, for groups of any size.
 
     ``block`` cuts a group into runs along ``order``. ``lead`` works inside a run; the last row of
-    a run takes the first value of the next run from a table with one row per run.
+    a run takes the first value of the next run from a table with one row per run. ``first`` names a
+    column that marks the first row of a group.
     """
     cut = df.withColumn("_block", block)
     run = Window.partitionBy(group, "_block").orderBy(*order)
     inside = cut.withColumn(name, F.lead(value).over(run)).withColumn(
         "_last", F.lead(F.lit(True), 1, False).over(run) == F.lit(False)
     )
+    if first:
+        inside = inside.withColumn("_nth", F.row_number().over(run))
     # ``row_number() = 1`` is pruned before the shuffle, so this brings one row per run.
     firsts = cut.withColumn("_nth", F.row_number().over(run)).where(F.col("_nth") == 1)
-    runs = firsts.withColumn("_carry", F.lead(value).over(Window.partitionBy(group).orderBy("_block")))
-    return (
-        inside.join(runs.select(group, "_block", "_carry"), [group, "_block"], "left")
-        .withColumn(name, F.when(F.col("_last"), F.col("_carry")).otherwise(F.col(name)))
-        .drop("_block", "_last", "_carry")
+    along = Window.partitionBy(group).orderBy("_block")
+    runs = firsts.withColumn("_carry", F.lead(value).over(along)).withColumn("_opens", F.row_number().over(along) == 1)
+    out = inside.join(runs.select(group, "_block", "_carry", "_opens"), [group, "_block"], "left").withColumn(
+        name, F.when(F.col("_last"), F.col("_carry")).otherwise(F.col(name))
     )
+    if first:
+        out = out.withColumn(first, F.col("_opens") & (F.col("_nth") == 1))
+    return out.drop("_block", "_last", "_carry", "_opens", "_nth")

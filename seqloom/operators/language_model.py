@@ -77,8 +77,8 @@ def train(pairs: DataFrame, seq: tuple[Column | str, ...], cut: int = 1, weight:
 def to_ids(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Add ``prev_id`` and ``next_id``; unknown words become ``<UNK>``."""
     for side in ("prev", "next"):
-        table = vocabulary.select(F.col("tok").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias("_w"))
-        pairs = lookup(pairs, table, [side], weight="_w").drop("_w")
+        table = vocabulary.select(F.col("tok").alias(side), F.col("id").alias(f"{side}_id"))
+        pairs = lookup(pairs, table, [side])
         pairs = pairs.withColumn(f"{side}_id", F.coalesce(f"{side}_id", F.lit(UNK_ID)))
     return pairs
 
@@ -102,8 +102,8 @@ def with_probability(
     else:
         known = model.bigrams.select(F.col("prev").alias(prev), F.col("next").alias(following), F.col("n").alias("_n"))
         out = pairs.join(known, [prev, following], "left")
-    out = lookup(out, before, [prev], weight="_n_prev")
-    out = lookup(out, after, [following], weight="_n_next")
+    out = lookup(out, before, [prev])
+    out = lookup(out, after, [following])
     p = model.smoothed(F.col("_n"), F.col("_n_prev"), F.col("_n_next"))
     return out.withColumn("p", p).drop("_n", "_n_prev", "_n_next")
 
@@ -112,8 +112,8 @@ def bigram_table(model: BigramModel) -> DataFrame:
     """``prev, next, n, p`` with words in place of ids."""
     scored = with_probability(model, model.bigrams, "prev", "next", counted="n")
     for side in ("prev", "next"):
-        names = model.vocabulary.select(F.col("id").alias(side), F.col("tok").alias(f"{side}_tok"), F.col("n").alias("_w"))
-        scored = lookup(scored, names, [side], weight="_w").drop("_w")
+        names = model.vocabulary.select(F.col("id").alias(side), F.col("tok").alias(f"{side}_tok"))
+        scored = lookup(scored, names, [side])
     return scored.select(F.col("prev_tok").alias("prev"), F.col("next_tok").alias("next"), "n", "p")
 
 
@@ -127,7 +127,7 @@ def sentence_loss(model: BigramModel, pairs: DataFrame, keys: list[str]) -> Data
         with_probability(model, to_ids(distinct, model.vocabulary)).select("prev", "next", "_seen", (-F.ln("p")).alias("nll")),
         "scored",
     )
-    rows = lookup(pairs.select(*keys, "prev", "next"), scored, ["prev", "next"], weight="_seen", how="inner")
+    rows = lookup(pairs.select(*keys, "prev", "next"), scored, ["prev", "next"], how="inner")
     loss = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tok"), F.avg("nll").alias("loss"))
     return loss.withColumn("ppl", perplexity(F.col("loss")))
 

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import BROADCAST_BYTES, fits, materialize
+from seqloom.session import BROADCAST_BYTES, fits
 
-HEAD_ROWS = 100_000
-HEAD_KEY_BYTES = 128
+HOT_KEYS = 256  # keys that are spread at most
+TRACKED = 10_000  # keys that the sketch follows; it misses none with more than a few shares of 1 / TRACKED
+HOT_SHARE = 2_000  # a key is hot if it holds more than one row in so many
+SALTS = 64
 
 
-def lookup(
-    facts: DataFrame,
-    table: DataFrame,
-    on: list[str],
-    weight: str | None = None,
-    how: str = "left",
-    limit: int = BROADCAST_BYTES,
-    head_rows: int = HEAD_ROWS,
-) -> DataFrame:
+def lookup(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` with ``table``, which holds each key once.
 
-    A table of at most ``limit`` bytes is broadcast. A larger one is cut by ``weight`` (how often
-    a key is expected): the most frequent keys, a bounded number of short rows, are broadcast, so
-    that hot keys never meet in one task; only the rest of the rows is shuffled. Without a weight
-    the join is left to adaptive execution, which splits skewed partitions.
+    A table of at most ``limit`` bytes is broadcast. For a larger one both sides are shuffled, with the
+    hot keys of the facts spread over ``SALTS`` places: a frequent-items sketch, merged from all tasks, names
+    them, whether the table holds them or not, and the table's rows for them, at most ``HOT_KEYS``, are
+    repeated for each place. Null keys find nothing, and are spread like hot ones.
     """
     if fits(table, limit):
         return facts.join(F.broadcast(table), on, how)
-    if weight is None:
-        return facts.join(table, on, how)
-    row_bytes = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
-    short = table.where(row_bytes <= HEAD_KEY_BYTES)
-    head = materialize(short.orderBy(F.desc_nulls_first(weight), *on).limit(head_rows), "head")
-    keys = F.broadcast(head.select(*on))
-    hot = facts.join(F.broadcast(head), on, "inner")
-    rest = facts.join(keys, on, "left_anti").join(table.join(keys, on, "left_anti"), on, how)
-    return hot.unionByName(rest)
+    hot = hot_keys(facts, on)
+    wide = _among(on, hot)
+    anywhere = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    missing = F.lit(False)
+    for key in on:
+        missing |= F.col(key).isNull()
+    salted = facts.withColumn("_salt", F.when(missing | wide, anywhere).otherwise(F.lit(0)))
+    places = F.when(wide, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = table.withColumn("_salt", F.explode(places))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(facts: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than one of ``HOT_SHARE`` rows with a key, the most frequent first."""
+    keyed = facts.select(*on).dropna().select(F.xxhash64(*on).alias("k"))
+    sketch = F.expr(f"approx_top_k(k, {HOT_KEYS}, {TRACKED})").alias("top")
+    row = keyed.agg(F.count(F.lit(1)).alias("n"), sketch).first()
+    return [item["item"] for item in row["top"] or [] if item["count"] * HOT_SHARE > row["n"]]
+
+
+def _among(on: list[str], hashes: list[int]) -> Column:
+    return F.xxhash64(*on).isin(hashes) if hashes else F.lit(False)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 class Scorer(Protocol):
-    """What a pluggable model offers; every method maps DataFrames to DataFrames."""
+    """What a pluggable model offers; every method maps DataFrames to DataFrames (``tagger.TaggerScorer`` is one)."""
 
     def train(self, data: DataFrame) -> "Scorer": ...
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import BOS
 from seqloom.operators.lookup import lookup
-from seqloom.session import materialize
+from seqloom.session import fits, materialize
+
+LOSS_EPS = 1e-6
 
 
 def with_context(lines: DataFrame, keys: list[str], words: str = "words", tags: str | None = None) -> DataFrame:
@@ -56,15 +58,56 @@ def predict(model: DataFrame, contexts: DataFrame) -> DataFrame:
     """Add ``tag`` to every row of ``contexts``; each distinct context is resolved once."""
     wanted = contexts.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"))
     resolved = materialize(resolve(model, wanted), "resolved")
-    return lookup(contexts, resolved, ["prev", "word"], weight="n", how="inner").drop("n")
+    return lookup(contexts, resolved, ["prev", "word"], how="inner").drop("n")
+
+
+def _shares(model: DataFrame, context: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of each tag in a context, and the totals of the contexts."""
+    counts = model.groupBy(*context, "tag").agg(F.sum("n").alias(name))
+    return counts, model.groupBy(*context).agg(F.sum("n").alias(f"{name}_all"))
+
+
+def tag_probability(model: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Add ``p`` to distinct rows ``prev, word, tag``: the tag's share in the longest context seen in training."""
+    out, terms = wanted, []
+    for context, name in ((["prev", "word"], "_n2"), (["word"], "_n1")):
+        counts, totals = _shares(model, context, name)
+        out = out.join(counts, [*context, "tag"], "left").join(totals, context, "left")
+        terms.append(F.when(F.col(f"{name}_all").isNotNull(), F.coalesce(name, F.lit(0)) / F.col(f"{name}_all")))
+    total = model.agg(F.sum("n")).first()[0]
+    tags = model.groupBy("tag").agg((F.sum("n") / F.lit(total)).alias("_n0"))
+    out = out.join(F.broadcast(tags) if fits(tags) else tags, "tag", "left")
+    return out.withColumn("p", F.coalesce(*terms, "_n0", F.lit(0.0))).select(*wanted.columns, "p")
 
 
 def tag_accuracy(model: DataFrame, contexts: DataFrame, group: list[str]) -> DataFrame:
-    """``group, n_tok, accuracy`` on tagged rows, from counts of distinct contexts."""
+    """``group, n_tok, accuracy, loss`` on tagged rows, from counts of distinct contexts; the loss is the mean
+    negative log probability of the given tags."""
     counted = contexts.groupBy(*group, "prev", "word", "tag").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "counted")
     wanted = counted.groupBy("prev", "word").agg(F.sum("n").alias("n"))
     guess = resolve(model, wanted).select("prev", "word", F.col("tag").alias("guess"))
+    odds = tag_probability(model, counted.select("prev", "word", "tag").distinct())
     hit = F.when(F.col("tag") == F.col("guess"), F.col("n")).otherwise(0)
-    joined = counted.join(guess, ["prev", "word"])
-    return joined.groupBy(*group).agg(F.sum("n").alias("n_tok"), (F.sum(hit) / F.sum("n")).alias("accuracy"))
+    joined = counted.join(guess, ["prev", "word"]).join(odds, ["prev", "word", "tag"])
+    nll = F.col("n") * -F.ln(F.col("p") + F.lit(LOSS_EPS))
+    return joined.groupBy(*group).agg(
+        F.sum("n").alias("n_tok"), (F.sum(hit) / F.sum("n")).alias("accuracy"), (F.sum(nll) / F.sum("n")).alias("loss")
+    )
+
+
+class TaggerScorer:
+    """The tagger as a :class:`~seqloom.operators.scorer.Scorer`: contexts with tags to train and evaluate on,
+    contexts without to classify."""
+
+    def __init__(self, group: list[str], counts: DataFrame | None = None) -> None:
+        self.group, self.counts = group, counts
+
+    def train(self, data: DataFrame) -> TaggerScorer:
+        return TaggerScorer(self.group, train_tagger(data))
+
+    def classify(self, data: DataFrame) -> DataFrame:
+        return predict(self.counts, data)
+
+    def evaluate(self, data: DataFrame) -> DataFrame:
+        return tag_accuracy(self.counts, data, self.group)

@@ -49,8 +49,8 @@ def number_vocabulary(counted: DataFrame, markers: tuple[str, ...], cut: int | N
 
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unk: int | None = 0, token: str = "tok") -> DataFrame:
     """Add ``id`` to token occurrences; unknown words get ``unk``."""
-    table = vocabulary.select(F.col("tok").alias(token), "id", "n")
-    joined = lookup(tokens, table, [token], weight="n").drop("n")
+    table = vocabulary.select(F.col("tok").alias(token), "id")
+    joined = lookup(tokens, table, [token])
     return joined if unk is None else joined.withColumn("id", F.coalesce("id", F.lit(unk)))
 
 
@@ -79,7 +79,7 @@ def decode_lines(
 ) -> DataFrame:
     """Text of each id array, cut before the first end marker; unknown ids read ``<UNK>``."""
     spread = encoded.select(*keys, F.posexplode_outer(ids).alias("pos", "id"))
-    named = lookup(spread, vocabulary.select("id", "tok", "n"), ["id"], weight="n")
+    named = lookup(spread, vocabulary.select("id", "tok"), ["id"])
     named = named.withColumn("tok", F.coalesce("tok", F.lit(UNK)))
     words = gather(named, keys, "pos", "tok", "_words")
     return words.select(*keys, F.array_join(until(F.col("_words"), EOS), " ").alias(name))

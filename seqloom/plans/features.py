@@ -10,6 +10,7 @@ from seqloom.operators import features as feat
 from seqloom.operators import tagger
 from seqloom.operators.vocabulary import fit_vocabulary
 from seqloom.plans import sql
+from seqloom.plans.text import id_text
 from seqloom.sources import tables
 from seqloom.sources.corpus import parse_features, parse_labelled_text, parse_tagged
 
@@ -38,9 +39,10 @@ def tag_predict(spark, folder):
 
 
 def accuracy(spark, folder):
+    """Accuracy and mean loss of the tagger on its own corpus, by the calls that a pluggable scorer has."""
     contexts = document_contexts(spark, folder)
-    rows = tagger.tag_accuracy(tagger.train_tagger(contexts), contexts, ["lang"])
-    return rows.select("lang", "n_tok", F.round("accuracy", 6).alias("accuracy"))
+    rows = tagger.TaggerScorer(["lang"]).train(contexts).evaluate(contexts)
+    return rows.select("lang", "n_tok", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
 
 
 def scan_features(spark, folder):
@@ -80,10 +82,22 @@ def bag_of_words(spark, folder):
     return feat.presence(parsed, ["doc_id", "label"])
 
 
+def feature_vectors(spark, folder):
+    """The weighted features of the labelled documents as sparse vectors, and their stored parts as text."""
+    parsed = parse_features(tables.feature_texts(spark, folder), ["doc_id"])
+    vocabulary = feature_vocabulary(spark, folder)
+    known = feat.known_features(feat.feature_matrix(parsed, ["doc_id", "label"]), vocabulary)
+    made = feat.feature_vectors(known, ["doc_id", "label"], vocabulary.count())
+    parts = made.select("doc_id", "label", feat.vector_parts("features").alias("v"))
+    counts = F.transform("v.values", lambda x: x.cast("long"))
+    lists = parts.select("doc_id", "label", "v.size", "v.indices", counts.alias("weights"))
+    return id_text(id_text(lists, "indices"), "weights")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_tagged, tagger_train, tag_predict, accuracy, scan_features, feature_matrix, features_known,
+        scan_tagged, tagger_train, tag_predict, accuracy, scan_features, feature_matrix, features_known, feature_vectors,
         scan_labelled_text, bag_of_words,
     )
 }
@@ -109,6 +123,12 @@ _BAG = f"""WITH {_LABELLED}
 SELECT DISTINCT doc_id, CAST(CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS INT) AS label, unnest({_CASED}) AS feat
 FROM labelled"""
 
+_FEATURE_VOC = f"""
+sorted_feats AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY encode(feat || '_:_' || CAST(CAST(score AS BIGINT) AS VARCHAR))) AS pos, feat AS tok
+  FROM feats),
+{sql.vocabulary("voc", "sorted_feats", "doc_id, pos", sql.TRANSLATION, cut=None)}"""
+
 SQL = {
     "scan_tagged": f"""SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS word, lang AS tag
 FROM (SELECT doc_id, lang, {_CASED} AS w FROM documents)""",
@@ -123,17 +143,21 @@ asked AS (
 SELECT conv_id, turn, pos, word, coalesce(t2, t1, t0) AS tag
 FROM asked LEFT JOIN best2 USING (prev, word) LEFT JOIN best1 USING (word), best0""",
     "accuracy": f"""WITH {_CONTEXT}
-SELECT lang, count(*) AS n_tok, round(avg(CASE WHEN t2 = lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-FROM tagged JOIN best2 USING (prev, word) GROUP BY lang""",
+SELECT lang, count(*) AS n_tok, round(avg(CASE WHEN t2 = lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round(avg(-ln(n / total + 1e-6)), 6) AS loss
+FROM tagged JOIN best2 USING (prev, word)
+JOIN (SELECT prev, word, tag AS lang, n, CAST(sum(n) OVER (PARTITION BY prev, word) AS DOUBLE) AS total FROM two) USING (prev, word, lang)
+GROUP BY lang""",
     "scan_features": f"WITH {_FEATS} SELECT doc_id, label, feat, score FROM feats",
     "feature_matrix": f"WITH {_FEATS} SELECT doc_id, label, feat, score * 0.5 AS score FROM feats",
     "features_known": f"""WITH {_FEATS},
-sorted_feats AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY encode(feat || '_:_' || CAST(CAST(score AS BIGINT) AS VARCHAR))) AS pos, feat AS tok
-  FROM feats),
-{sql.vocabulary("voc", "sorted_feats", "doc_id, pos", sql.TRANSLATION, cut=None)},
+{_FEATURE_VOC},
 items AS (SELECT item_id, unnest({sql.words("text")}) AS feat FROM benchmark)
 SELECT item_id, feat, id, CAST(count(*) AS DOUBLE) AS score FROM items JOIN voc ON feat = tok GROUP BY ALL""",
+    "feature_vectors": f"""WITH {_FEATS}, {_FEATURE_VOC}
+SELECT doc_id, label, (SELECT CAST(count(*) AS INT) FROM voc) AS size, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS indices,
+  string_agg(CAST(CAST(score AS BIGINT) AS VARCHAR), ' ' ORDER BY id) AS weights
+FROM feats JOIN voc ON feat = tok GROUP BY doc_id, label""",
     "scan_labelled_text": f"""WITH {_LABELLED}
 SELECT doc_id, label, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS word
 FROM (SELECT doc_id, CAST(CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS INT) AS label, {_CASED} AS w FROM labelled)""",

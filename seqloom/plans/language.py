@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import BOS, END, tokens
 from seqloom.operators import decode
 from seqloom.operators import language_model as lm
-from seqloom.operators.index import following
+from seqloom.operators.index import dense_index, following
 from seqloom.operators.lookup import lookup
 from seqloom.operators.report import in_input_order
 from seqloom.plans import sql
@@ -19,8 +19,8 @@ from seqloom.sources.tables import conversation_lines, document_lines, table
 SUCCESSORS = 3
 DISCOUNT = 0.3
 BEAM = 3
-BEAM_LIMIT = 6
-GREEDY_LIMIT = 50
+GEN_LIMIT = 50
+LOG_DIGITS = 6
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,48 +31,53 @@ def document_model(spark: SparkSession, folder: str) -> lm.BigramModel:
     return lm.train(document_pairs(spark, folder), ("doc_id", "line_no", "pos"))
 
 
+RUN_ROWS = 1 << 16  # events that one window sorts
+
+
 def event_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per event; minute and microsecond of the minute order a user's events."""
+    """One row per event; minute, microsecond of the minute and event id order a user's events."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     minute = 60_000_000
     return table(spark, folder, "events").select(
         "user_id",
         F.floor(micros / minute).cast("int").alias("minute"),
         F.pmod(micros, F.lit(minute)).cast("int").alias("micro"),
+        "event_id",
         F.col("event_type").alias("tok"),
     )
 
 
 def event_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``user_id, minute, micro, prev, next`` of ``<s> events </s>``, one sequence per user.
+    """``user_id, minute, micro, place, prev, next`` of ``<s> events </s>``, one sequence per user.
 
-    Runs of one day bound what a window holds, whatever a single user's share of the events.
+    All events are numbered in order, and runs of numbers bound what a window holds: the events of one user,
+    however many, spread over the tasks. ``place`` orders the pairs of all sequences.
     """
-    events = event_tokens(spark, folder)
-    day = F.floor(F.col("minute") / 1440)
-    after = following(events, "user_id", day, ["minute", "micro"], "tok")
-    inner = after.select(
-        "user_id", "minute", (F.col("micro") + 1).alias("micro"), F.col("tok").alias("prev"),
-        F.coalesce("next", F.lit(END)).alias("next"),
-    )
-    first = events.groupBy("user_id").agg(F.min(F.struct("minute", "micro", "tok")).alias("f"))
-    opening = first.select(
-        "user_id", F.col("f.minute").alias("minute"), F.col("f.micro").alias("micro"),
-        F.lit(BOS).alias("prev"), F.col("f.tok").alias("next"),
-    )
-    return inner.unionByName(opening)
+    events = dense_index(event_tokens(spark, folder), "user_id", "minute", "micro", "event_id")
+    run = F.floor(F.col("row_index") / RUN_ROWS)
+    after = following(events, "user_id", run, ["row_index"], "tok", first="opens")
+    place = F.col("row_index") * 2
+    ends = F.struct((F.col("micro") + 1).alias("micro"), (place + 1).alias("place"), F.col("tok").alias("prev"), F.coalesce("next", F.lit(END)).alias("next"))
+    starts = F.when(F.col("opens"), F.struct(F.col("micro"), place.alias("place"), F.lit(BOS).alias("prev"), F.col("tok").alias("next")))
+    pairs = after.select("user_id", "minute", F.explode(F.array_compact(F.array(ends, starts))).alias("p"))
+    return pairs.select("user_id", "minute", "p.micro", "p.place", "p.prev", "p.next")
 
 
 def event_model(pairs: DataFrame) -> lm.BigramModel:
-    return lm.train(pairs, ("user_id", "minute", "micro"))
+    return lm.train(pairs, ("place",))
 
 
 def stored_event_pairs(spark, folder):
     return materialize(event_pairs(spark, folder), "event_pairs")
 
 
+def log_p() -> Column:
+    """Probabilities are reported as logarithms: small ones keep their digits."""
+    return F.round(F.ln("p"), LOG_DIGITS).alias("ln_p")
+
+
 def bigram_report(model: lm.BigramModel) -> DataFrame:
-    return lm.bigram_table(model).select("prev", "next", "n", F.round("p", 8).alias("p"))
+    return lm.bigram_table(model).select("prev", "next", "n", log_p())
 
 
 def lm_train(spark, folder):
@@ -126,19 +131,19 @@ def events_sentence_ppl(spark, folder):
 def events_corpus_ppl(spark, folder):
     pairs = stored_event_pairs(spark, folder)
     lengths = materialize(pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("len")), "lengths")
-    shared = lookup(pairs, lengths, ["user_id"], weight="len", how="inner")
+    shared = lookup(pairs, lengths, ["user_id"], how="inner")
     # The opening pair's target is the user's first event: sequences are grouped by how they begin.
     opening = pairs.where(F.col("prev") == BOS).select("user_id", F.col("next").alias("opening"))
-    grouped = lookup(shared, materialize(opening.join(lengths, "user_id"), "openings"), ["user_id", "len"], weight="len")
+    grouped = lookup(shared, materialize(opening.join(lengths, "user_id"), "openings"), ["user_id", "len"])
     return rounded_losses(lm.corpus_loss(event_model(pairs), grouped, ["opening"], 1 / F.col("len")))
 
 
 def named_successors(model: lm.BigramModel, best: DataFrame) -> DataFrame:
     for side in ("prev", "next"):
-        names = model.vocabulary.select(F.col("id").alias(side), F.col("tok").alias(f"{side}_tok"), F.col("n").alias("_w"))
-        best = lookup(best, names, [side], weight="_w").drop("_w")
+        names = model.vocabulary.select(F.col("id").alias(side), F.col("tok").alias(f"{side}_tok"))
+        best = lookup(best, names, [side])
     return best.select(
-        F.col("prev_tok").alias("prev"), "rank", F.col("next_tok").alias("next"), F.round("p", 8).alias("p")
+        F.col("prev_tok").alias("prev"), "rank", F.col("next_tok").alias("next"), log_p()
     )
 
 
@@ -164,8 +169,14 @@ def prompts(spark, folder):
 
 def generate_greedy(spark, folder):
     model = document_model(spark, folder)
-    paths = decode.path_text(model, decode.greedy_paths(model, GREEDY_LIMIT)).select("state", "output")
-    return decode.continue_prompts(model, prompts(spark, folder), paths).select("conv_id", "turn", "line_no", "output")
+    return answers(model, prompts(spark, folder), decode.greedy_paths(model, GEN_LIMIT))
+
+
+def answers(model: lm.BigramModel, asked: DataFrame, paths: DataFrame) -> DataFrame:
+    """The continuation of each prompt; only the paths of words that prompts end in are spelled."""
+    wanted = paths.join(decode.asked_states(model, asked), "state", "left_semi")
+    spelled = decode.path_text(model, materialize(wanted, "wanted")).select("state", "output")
+    return decode.continue_prompts(model, asked, spelled).select("conv_id", "turn", "line_no", "output")
 
 
 def beam_decode(spark, folder):
@@ -175,7 +186,7 @@ def beam_decode(spark, folder):
 
 
 def beam_report(model: lm.BigramModel) -> DataFrame:
-    best = decode.path_text(model, decode.beam_paths(model, BEAM, BEAM_LIMIT))
+    best = decode.path_text(model, decode.beam_paths(model, BEAM, GEN_LIMIT))
     names = model.vocabulary.select(F.col("id").alias("state"), "tok")
     return best.join(names, "state").select("tok", "output", F.round("score", 6).alias("score"))
 
@@ -187,10 +198,8 @@ def events_beam_decode(spark, folder):
 def decode_in_order(spark, folder):
     model = document_model(spark, folder)
     keys = ["conv_id", "turn", "line_no"]
-    paths = decode.path_text(model, decode.beam_paths(model, BEAM, BEAM_LIMIT)).select("state", "output")
-    asked = prompts(spark, folder)
-    answers = decode.continue_prompts(model, asked, paths).select(*keys, "output")
-    return in_input_order(conversation_lines(spark, folder).select(*keys, "text"), answers, keys)
+    done = answers(model, prompts(spark, folder), decode.beam_paths(model, BEAM, GEN_LIMIT))
+    return in_input_order(conversation_lines(spark, folder).select(*keys, "text"), done, keys)
 
 
 QUERIES = {
@@ -209,15 +218,15 @@ _EVENT_PAIRS = """
 ordered AS (
   SELECT user_id, event_type AS tok, ts, CAST(floor(epoch_us(ts) / 60000000) AS INT) AS minute,
     CAST(epoch_us(ts) % 60000000 AS INT) AS micro,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM events),
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
 prs AS (
-  SELECT user_id, minute, CAST(micro + 1 AS INT) AS micro, tok AS prev,
+  SELECT user_id, minute, CAST(micro + 1 AS INT) AS micro, nth, tok AS prev,
     coalesce(lead(tok) OVER (PARTITION BY user_id ORDER BY nth), '</s>') AS next FROM ordered
-  UNION ALL SELECT user_id, minute, micro, '<s>', tok FROM ordered WHERE nth = 1)"""
-_EVENTS = f"WITH {_EVENT_PAIRS}, {sql.bigram_model('prs', 'user_id, minute, micro')}"
+  UNION ALL SELECT user_id, minute, micro, 0, '<s>', tok FROM ordered WHERE nth = 1)"""
+_EVENTS = f"WITH {_EVENT_PAIRS}, {sql.bigram_model('prs', 'user_id, nth')}"
 
 _TABLE = f"""
-SELECT a.tok AS prev, b.tok AS next, bi.n, round({sql.probability("bi.n", "n_prev", "n_next")}, 8) AS p
+SELECT a.tok AS prev, b.tok AS next, bi.n, round(ln({sql.probability("bi.n", "n_prev", "n_next")}), {LOG_DIGITS}) AS ln_p
 FROM bi JOIN before USING (prev) JOIN after USING (next) JOIN voc a ON a.id = bi.prev JOIN voc b ON b.id = bi.next, size"""
 
 
@@ -252,12 +261,12 @@ probs AS (
   SELECT prev, next, ({p}) * CASE WHEN next = 4 THEN {1.0 - discount!r} ELSE 1.0 END AS p
   FROM cand LEFT JOIN bi USING (prev, next) LEFT JOIN before USING (prev) LEFT JOIN after USING (next), size),
 succ AS (
-  SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY round(p, 12) DESC, next) AS rank
+  SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY round(ln(p), 9) DESC, next) AS rank
   FROM probs QUALIFY rank <= {k})"""
 
 
-_NAMED = """
-SELECT a.tok AS prev, CAST(rank AS INT) AS rank, b.tok AS next, round(p, 8) AS p
+_NAMED = f"""
+SELECT a.tok AS prev, CAST(rank AS INT) AS rank, b.tok AS next, round(ln(p), {LOG_DIGITS}) AS ln_p
 FROM succ JOIN voc a ON a.id = prev JOIN voc b ON b.id = next"""
 
 # All targets of all states: affordable for the few event types, and free of the short list.
@@ -269,7 +278,7 @@ probs AS (
   SELECT prev, next, {sql.probability("n", "n_prev", "n_next")} AS p
   FROM cand LEFT JOIN bi USING (prev, next) LEFT JOIN before USING (prev) LEFT JOIN after USING (next), size),
 succ AS (
-  SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY round(p, 12) DESC, next) AS rank
+  SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY round(ln(p), 9) DESC, next) AS rank
   FROM probs QUALIFY rank <= {SUCCESSORS})"""
 
 
@@ -286,30 +295,25 @@ texts AS (
 
 
 def _beam(successors: str, model: str) -> str:
-    """The beam search unrolled step by step."""
-    out = [f"{model}, {successors}, live0 AS (SELECT DISTINCT prev AS state, prev AS last, 0.0::DOUBLE AS score, []::INT[] AS path, {BEAM} AS room FROM succ)"]
-    for step in range(1, BEAM_LIMIT + 1):
-        out.append(f"""
-kept{step} AS MATERIALIZED (
+    """The beam search as a recursive statement, step by step to the limit, without a bound."""
+    return f"""WITH RECURSIVE {model[len("WITH ") :]}, {successors},
+follow AS MATERIALIZED (SELECT prev, next, ln(p + 1e-6) AS gain FROM succ),
+walk AS (
+  SELECT DISTINCT prev AS state, prev AS last, 0.0::DOUBLE AS score, []::INT[] AS path, {BEAM} AS room, 0 AS step FROM succ
+  UNION ALL
   SELECT * FROM (
-    SELECT state, next AS last, score + ln(p + 1e-6) AS score, list_append(path, next) AS path, room
-    FROM live{step - 1} JOIN succ ON last = prev)
-  QUALIFY row_number() OVER (PARTITION BY state ORDER BY round(score, 9) DESC, path) <= room)""")
-        if step < BEAM_LIMIT:
-            out.append(f"""
-live{step} AS (
-  SELECT state, last, score, path, room FROM (
-    SELECT state, last, score, path,
-      room - sum(CASE WHEN last = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY state) AS room FROM kept{step})
-  WHERE last <> 4 AND room > 0)""")
-    done = " UNION ALL ".join(f"SELECT state, path, score, 0 AS open FROM kept{s} WHERE last = 4" for s in range(1, BEAM_LIMIT))
-    out.append(f"""
-pool AS ({done} UNION ALL SELECT state, path, score, 1 FROM kept{BEAM_LIMIT}),
+    SELECT state, next AS last, score + gain AS score, list_append(path, next) AS path, room_left AS room, step + 1 AS step
+    FROM (
+      SELECT *, room - CAST(sum(CASE WHEN last = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY state) AS INT) AS room_left FROM walk)
+    JOIN follow ON last = prev WHERE last <> 4 AND room_left > 0 AND step < {GEN_LIMIT})
+  QUALIFY row_number() OVER (PARTITION BY state ORDER BY round(score, 9) DESC, path) <= room),
+pool AS (
+  SELECT state, path, score, CASE WHEN step < {GEN_LIMIT} THEN 0 ELSE 1 END AS open
+  FROM walk WHERE step = {GEN_LIMIT} OR last = 4),
 best AS (
   SELECT state, path, score / len(path) AS score FROM pool
   QUALIFY row_number() OVER (PARTITION BY state ORDER BY open, round(score / len(path), 9) DESC, path) = 1),
-{_path_text("path")}""")
-    return ",".join(out)
+{_path_text("path")}"""
 
 
 _BEAM_ROWS = """
@@ -353,7 +357,7 @@ walk AS (
   SELECT prev AS state, next AS last, 1 AS len, [next] AS path FROM succ
   UNION ALL
   SELECT state, next, len + 1, list_append(path, next) FROM walk JOIN succ ON last = prev
-  WHERE last <> 4 AND len < {GREEDY_LIMIT}),
+  WHERE last <> 4 AND len < {GEN_LIMIT}),
 best AS (SELECT state, arg_max(path, len) AS path FROM walk GROUP BY state),
 {_path_text("path")}, {_LAST}
 SELECT conv_id, turn, line_no, output FROM answered""",

@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import tokens
-from seqloom.operators import batching
+from seqloom.operators import batching, model_store, tagger
+from seqloom.operators import language_model as lm
 from seqloom.operators.index import dense_index
 from seqloom.operators.scorer import score_batches
 from seqloom.operators.vocabulary import encode_tokens, gather
 from seqloom.plans import sql
-from seqloom.plans.language import bigram_report, document_model
+from seqloom.plans.features import document_contexts
+from seqloom.plans.language import bigram_report, document_model, document_pairs, rounded_losses
 from seqloom.plans.text import document_vocabulary, id_text, marked_lines
 from seqloom.session import materialize, scratch_path
 from seqloom.sources import model_dir
 from seqloom.sources.tables import document_lines, documents
-from seqloom.streaming.encode import read_encoded, run_encoder, table_stream
+from seqloom.streaming.encode import metrics_table, observed, read_encoded, run_batches, run_encoder, table_stream
 
 KEYS = ["doc_id", "line_no"]
 BATCH = 64
 SEED, EPOCH = 7, 2
+WHOLE_TABLE = -1  # batch number of what was observed without a stream
 
 
 def document_batches(spark, folder) -> DataFrame:
@@ -83,16 +86,14 @@ def spec_roundtrip(spark, folder):
 
 
 def model_roundtrip(spark, folder):
-    """Two snapshots are saved; the later one is loaded and reported."""
-    model = document_model(spark, folder)
+    """Two different epochs are saved and a third is broken off; the newest whole one is rebuilt from disk."""
     path = scratch_path(spark, "model")
-    tables = {"vocabulary": model.vocabulary, "bigrams": model.bigrams, "unigrams": model.unigrams}
-    for epoch in (1, 2):
-        model_dir.save_model(tables, path, epoch)
-    loaded = model_dir.load_model(spark, path, list(tables))
-    for name, df in loaded.items():
-        setattr(model, name, df)
-    return bigram_report(model)
+    pairs = document_pairs(spark, folder)
+    seq = ("doc_id", "line_no", "pos")
+    model_store.save(lm.train(pairs.where(F.col("lang") == "en"), seq, cut=3), path, 1)
+    model_store.save(lm.train(pairs, seq), path, 2)
+    model_store.save(lm.train(pairs, seq, cut=2), path, 3, commit=False)
+    return bigram_report(model_store.load(spark, path))
 
 
 def unigram_score(batch: pd.DataFrame) -> pd.DataFrame:
@@ -106,27 +107,75 @@ def score_with_udf(spark, folder):
     total = fitted.agg(F.sum("n")).first()[0]
     lines = document_lines(spark, folder).select(*KEYS, F.posexplode_outer(tokens("text")).alias("pos", "tok"))
     # Words below the cut were seen once.
-    counted = encode_tokens(lines, fitted.select("tok", F.col("n").alias("id"), "n"), unk=1)
+    counted = encode_tokens(lines, fitted.select("tok", F.col("n").alias("id")), unk=1)
     rows = gather(counted, KEYS, "pos", "id", "counts").withColumn("total", F.lit(total))
     scored = score_batches(rows, unigram_score, "doc_id long, line_no int, score double")
     return scored.withColumn("score", F.round("score", 4))
 
 
+LINE_METRICS = {
+    "n_lines": "count(1)",
+    "n_blank": "count_if(size(toks) = 2)",
+    "n_tokens": "sum(cast(size(toks) AS long))",
+}
+
+
+def streamed_lines(spark, folder) -> DataFrame:
+    docs = table_stream(spark, folder, "documents")
+    return marked_lines(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")))
+
+
 def stream_encode(spark, folder):
     """Documents arrive as a file stream; every line is encoded with the fitted vocabulary."""
-    fitted = document_vocabulary(spark, folder)
-    docs = table_stream(spark, folder, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     out = scratch_path(spark, "encoded")
-    run_encoder(marked_lines(lines), KEYS, fitted, out, scratch_path(spark, "stream"))
+    fitted = document_vocabulary(spark, folder)
+    run_encoder(streamed_lines(spark, folder), KEYS, fitted, out, scratch_path(spark, "stream"))
     return id_text(read_encoded(spark, out))
 
 
+def stream_metrics(spark, folder):
+    """What the stream's progress says of each micro-batch, beside the same metrics observed on the whole table."""
+    fitted = document_vocabulary(spark, folder)
+    paths = scratch_path(spark, "encoded"), scratch_path(spark, "stream")
+    found = run_encoder(streamed_lines(spark, folder), KEYS, fitted, *paths, metrics=LINE_METRICS)
+    whole, seen = observed(marked_lines(document_lines(spark, folder)), LINE_METRICS)
+    whole.write.format("noop").mode("overwrite").save()
+    names = list(LINE_METRICS)
+    return metrics_table(spark, found | {WHOLE_TABLE: seen.get}, names)
+
+
+def stream_tag(spark, folder):
+    """Conversations arrive as a file stream and are tagged by one epoch of a saved tagger."""
+    path, out = scratch_path(spark, "tagger"), scratch_path(spark, "tagged")
+    model_store.save(model_store.Tagger(tagger.train_tagger(document_contexts(spark, folder))), path, 1)
+    model = model_store.load(spark, path, 1)
+    keys = ["conv_id", "turn"]
+    talk = table_stream(spark, folder, "conversations").select(*keys, tokens("text", False).alias("words"))
+
+    def tagged(batch: DataFrame) -> DataFrame:
+        return tagger.predict(model.counts, tagger.with_context(batch, keys)).select(*keys, "pos", "word", "tag")
+
+    run_batches(talk, tagged, out, scratch_path(spark, "stream"))
+    return read_encoded(spark, out)
+
+
+def stream_sentence_ppl(spark, folder):
+    """Conversations arrive as a file stream and are scored by one epoch of a saved language model."""
+    path, out = scratch_path(spark, "model"), scratch_path(spark, "scored")
+    model_store.save(document_model(spark, folder), path, 1)
+    model = model_store.load(spark, path, 1)
+    keys = ["conv_id", "turn", "line_no"]
+    talk = table_stream(spark, folder, "conversations")
+    lines = talk.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    run_batches(marked_lines(lines), lambda batch: lm.sentence_loss(model, lm.pair_rows(batch, keys), keys), out, scratch_path(spark, "stream"))
+    return rounded_losses(read_encoded(spark, out))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         length_batches, running_progress, wraparound_fill, seeded_shuffle, shuffled_batches, vocab_roundtrip,
-        spec_roundtrip, model_roundtrip, score_with_udf, stream_encode,
+        spec_roundtrip, model_roundtrip, score_with_udf, stream_encode, stream_metrics, stream_tag, stream_sentence_ppl,
     )
 }
 
@@ -143,7 +192,7 @@ def _shuffled(rows: str, key: str) -> str:
 
 
 def _sql() -> dict[str, str]:
-    from seqloom.plans import language, text
+    from seqloom.plans import features, language, text
 
     pairs = sql.pairs("prs", "doc_lines", "doc_id, line_no, lang", _W)
     model = f"WITH {sql.DOC_LINES}, {pairs}, {sql.bigram_model('prs', 'doc_id, line_no, pos')}"
@@ -179,6 +228,12 @@ counts AS (SELECT tok, count(*) AS n FROM doc_tokens GROUP BY tok HAVING count(*
 SELECT doc_id, line_no, round(sum(ln(coalesce(n, 1) / (SELECT CAST(sum(n) AS DOUBLE) FROM counts))), 4) AS score
 FROM doc_tokens LEFT JOIN counts USING (tok) GROUP BY doc_id, line_no""",
         "stream_encode": text.SQL["encode_cut"],
+        "stream_metrics": f"""WITH {sql.DOC_LINES},
+lines AS (SELECT len({_W}) AS n FROM doc_lines)
+SELECT batch, count(*) AS n_lines, count(*) FILTER (WHERE n = 2) AS n_blank, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM lines, (VALUES (CAST(0 AS BIGINT)), ({WHOLE_TABLE})) AS b(batch) GROUP BY batch""",
+        "stream_tag": features.SQL["tag_predict"],
+        "stream_sentence_ppl": language.SQL["sentence_ppl"],
     }
 
 

@@ -1,15 +1,20 @@
-"""Sentence-at-a-time encoding of an unbounded line source."""
+"""Sentence-at-a-time encoding and prediction on unbounded line sources."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from seqloom.operators.vocabulary import encode_lines
+from seqloom.session import materialize
 
 Hook = Callable[[DataFrame, int], None]
+METRICS = "metrics"
+LISTENER_SECONDS = 60
 
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,39 +31,104 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.parquet(folder)
 
 
-def run_encoder(
-    lines: DataFrame,
-    keys: list[str],
-    vocabulary: DataFrame,
+def _aggregates(metrics: dict[str, str]) -> list[Column]:
+    """Named aggregates from SQL expressions."""
+    return [F.expr(aggregate).alias(name) for name, aggregate in metrics.items()]
+
+
+def observed(rows: DataFrame, metrics: dict[str, str]) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that holds the metrics once an action has read them."""
+    seen = Observation(METRICS)
+    return rows.observe(seen, *_aggregates(metrics)), seen
+
+
+class _Progress(StreamingQueryListener):
+    """Metrics of every micro-batch of one run, from the stream's progress."""
+
+    def __init__(self) -> None:
+        self.run_id, self.found, self.ended = None, {}, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(METRICS)
+        if row is not None:
+            self.found.setdefault(str(event.progress.runId), {})[event.progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run_id is None or str(event.runId) == self.run_id:
+            self.ended.set()
+
+
+def run_batches(
+    rows: DataFrame,
+    predict: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
+    metrics: dict[str, str] | None = None,
     on_batch: Hook | None = None,
-) -> None:
-    """Encode every line of ``lines`` (``keys``, ``toks``) that is there now and write it to ``out``.
+) -> dict[int, dict]:
+    """Apply ``predict`` to every micro-batch that is there now and write the results to ``out``.
 
-    Lines are independent of each other, so no state is kept. A micro-batch writes the folder of
-    its own number and overwrites it when it is run again after a failure.
+    Lines are independent of each other, so no state is kept. A micro-batch is stored before it is read, so
+    that its source is read once, and writes the folder of its own number; run again after a failure it
+    overwrites that folder. A stream without rows leaves an empty table. Returns the observed ``metrics`` by
+    batch number; ``on_batch`` is called with what each batch has written.
     """
+    spark = rows.sparkSession
+    nothing = predict(spark.createDataFrame([], rows.schema))
+    nothing.limit(0).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    watched = rows.observe(METRICS, *_aggregates(metrics)) if metrics else rows
 
     def sink(batch: DataFrame, number: int) -> None:
-        encoded = encode_lines(batch, keys, vocabulary)
-        encoded.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        predict(materialize(batch, "batch")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         if on_batch:
             on_batch(batch.sparkSession.read.parquet(f"{out}/batch={number}"), number)
 
-    query = (
-        lines.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    progress = _Progress()
+    if metrics:
+        spark.streams.addListener(progress)
+    try:
+        query = watched.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run_id = str(query.runId)
+        progress.run_id = run_id
+        query.awaitTermination()
+        if metrics and not progress.ended.wait(LISTENER_SECONDS):
+            raise TimeoutError("the stream ended without its last progress report")
+    finally:
+        if metrics:
+            spark.streams.removeListener(progress)
+    return progress.found.get(run_id, {})
+
+
+def run_encoder(
+    lines: DataFrame,
+    keys: list[str],
+    vocabulary: DataFrame,
+    out: str,
+    checkpoint: str,
+    on_batch: Hook | None = None,
+    metrics: dict[str, str] | None = None,
+) -> dict[int, dict]:
+    """Encode every line of ``lines`` (``keys``, ``toks``) that is there now and write it to ``out``."""
+    return run_batches(lines, lambda batch: encode_lines(batch, keys, vocabulary), out, checkpoint, metrics, on_batch)
 
 
 def read_encoded(spark: SparkSession, out: str) -> DataFrame:
+    """What all batches have written."""
     return spark.read.parquet(out).drop("batch")
 
 
+def metrics_table(spark: SparkSession, found: dict[int, dict], names: list[str]) -> DataFrame:
+    """``batch`` and the named counts, a row for each micro-batch."""
+    rows = [(number, *[values[n] for n in names]) for number, values in sorted(found.items())]
+    return spark.createDataFrame(rows, ", ".join(["batch long", *[f"{n} long" for n in names]]))
+
+
 def counting_hook(totals: list[tuple[int, int]]) -> Hook:
     """A hook that notes how many lines each micro-batch held."""
 

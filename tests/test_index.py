@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import batching
 from seqloom.operators.index import dense_index, following
-from seqloom.operators.lookup import lookup
+from seqloom.operators.lookup import hot_keys, lookup
 
 
 def test_dense_index_is_the_sorted_order(spark):
@@ -34,14 +34,49 @@ def test_following_crosses_runs(spark):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_above_the_broadcast_limit(spark, how):
     rng = random.Random(7)
-    words = ["the"] * 400 + [f"w{rng.randrange(300)}" for _ in range(600)] + ["x" * 300] * 5 + [None]
-    facts = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, tok string")
-    known = sorted({w for w in words if w and w < "w5"} | {"the", "x" * 300})
-    table = spark.createDataFrame([(w, j, words.count(w)) for j, w in enumerate(known)], "tok string, id int, n long")
+    words = ["the"] * 400 + ["absent"] * 300 + [f"w{rng.randrange(300)}" for _ in range(600)] + ["x" * 300] * 5 + [None] * 50
+    facts = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, tok string").repartition(5)
+    known = sorted({w for w in words if w and w < "w5"} - {"absent"} | {"the", "x" * 300})
+    table = spark.createDataFrame([(w, j) for j, w in enumerate(known)], "tok string, id int")
     want = sorted(facts.join(table, "tok", how).select("i", "tok", "id").collect(), key=str)
-    for weight, limit in (("n", 0), (None, 0), ("n", 10**9)):
-        got = lookup(facts, table, ["tok"], weight=weight, how=how, limit=limit, head_rows=10)
+    for limit in (0, 10**9):
+        got = lookup(facts, table, ["tok"], how=how, limit=limit)
+        assert got.columns == ["tok", "i", "id"]
         assert sorted(got.select("i", "tok", "id").collect(), key=str) == want
+    two = lookup(facts.withColumn("k", F.lit(1)), table.withColumn("k", F.lit(1)), ["tok", "k"], how=how, limit=0)
+    assert sorted(two.select("i", "tok", "id").collect(), key=str) == want
+    assert lookup(facts.where("i < 0"), table, ["tok"], how=how, limit=0).collect() == []
+
+
+def test_hot_absent_and_null_keys_do_not_meet_in_one_task(spark):
+    """A word that a third of the facts hold and the table lacks, and null keys, spread over the shuffle partitions."""
+    words = [["absent", None, f"w{i}"][i % 3] for i in range(6000)]
+    facts = spark.createDataFrame([(w,) for w in words], "tok string").repartition(16)
+    table = spark.createDataFrame([(f"w{i}", i) for i in range(6000)], "tok string, id int")
+    hashed = spark.createDataFrame([("absent",)], "tok string").select(F.xxhash64("tok")).first()[0]
+    assert hot_keys(facts, ["tok"]) == [hashed]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for key, value in zip(before, ("false", "-1", "16")):
+        spark.conf.set(key, value)
+    try:
+        joined = lookup(facts, table, ["tok"], limit=0)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.expr("count_if(tok = 'absent')").alias("hot"), F.expr("count_if(tok IS NULL)").alias("none"))
+        rows = parts.collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r["hot"] for r in rows) == sum(r["none"] for r in rows) == 2000
+    assert max(r["hot"] for r in rows) < 700 and max(r["none"] for r in rows) < 700
+
+
+def test_one_user_with_all_events(spark):
+    """Runs by row number: a group of any size spreads over windows, ties go by the last order column."""
+    rows = [(1, i // 4, i, f"v{i}") for i in range(1000)] + [(2, 7, 5000, "only")]
+    df = spark.createDataFrame(rows, "g int, at int, id int, v string").repartition(8)
+    placed = dense_index(df, "g", "at", "id")
+    got = following(placed, "g", F.floor(F.col("row_index") / 50), ["row_index"], "v", first="opens").orderBy("row_index").collect()
+    assert [r["next"] for r in got] == [f"v{i}" for i in range(1, 1000)] + [None, None]
+    assert [r["id"] for r in got if r["opens"]] == [0, 5000]
 
 
 def test_batches(spark):

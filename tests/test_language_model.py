@@ -59,7 +59,7 @@ class ByHand:
         return self.weight * self.pairs[a, b] / self.before[a] + (1 - self.weight) * base
 
     def top(self, a, k):
-        return sorted(self.targets, key=lambda b: (-round(self.p(a, b), 12), b))[:k]
+        return sorted(self.targets, key=lambda b: (-round(math.log(self.p(a, b)), 9), b))[:k]
 
     def greedy(self, a, limit):
         path = []
@@ -142,10 +142,23 @@ def test_greedy(model, hand, limit):
     assert got == {a: hand.greedy(a, limit) for a in hand.states}
 
 
-@pytest.mark.parametrize("beam, limit", [(2, 4), (3, 6), (99, 3)])
+@pytest.mark.parametrize("beam, limit", [(2, 4), (3, 6), (99, 3), (3, 50)])
 def test_beam(model, hand, beam, limit):
-    got = {r["state"]: r["path"] for r in decode.beam_paths(model, beam, limit).collect()}
-    assert got == {a: hand.beam(a, beam, limit) for a in hand.states}
+    want = {a: hand.beam(a, beam, limit) for a in hand.states}
+    for bounded in (True, False):
+        got = {r["state"]: r["path"] for r in decode.beam_paths(model, beam, limit, bounded).collect()}
+        assert got == want
+
+
+def test_long_hypotheses_are_found(spark):
+    """Lines of a fixed chain of twenty words: the best hypothesis ends far beyond the first block of steps."""
+    chain = " ".join(f"w{i:02d}" for i in range(20))
+    model = lm.train(lm.pair_rows(make_lines(spark, [chain] * 200), ["line_id"]), ("line_id", "pos"), weight=0.999)
+    paths = {r["state"]: r["path"] for r in decode.beam_paths(model, 2).collect()}
+    start = lm.BOS_ID
+    assert len(paths[start]) == 21 and paths[start][-1] == lm.END_ID
+    unbounded = {r["state"]: r["path"] for r in decode.beam_paths(model, 2, bounded=False).collect()}
+    assert paths == unbounded
 
 
 def test_beam_of_one_is_greedy(model):

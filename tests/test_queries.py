@@ -11,7 +11,7 @@ from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
 QUICK = "scan_lines token_counts vocab_shared oov_tokens argmax_label label_check cross_entropy scan_parallel wraparound_fill".split()
-NO_SQL = {"mlp_fit_predict"}  # an iterative optimizer
+NO_SQL: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -1,3 +1,5 @@
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +34,10 @@ def test_lines_in_file_order(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
-        got = read_lines(spark, str(tmp_path)).orderBy("line_id").collect()
+        read = read_lines(spark, str(tmp_path))
+        got = read.orderBy("line_id").collect()
+        plan = read._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert read.rdd.getNumPartitions() > 1 and "Exchange hash" not in plan and "Exchange range" not in plan
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r["text"] for r in got] == want
@@ -53,8 +58,10 @@ def test_weighted_features(spark):
     known = spark.createDataFrame([("red", 3, 2)], "tok string, id int, n long")
     rows = features.known_features(parse_features(lines(spark, "red_:_1 blue_:_9"), ["line_id"], labelled=False), known)
     assert [(r["feat"], r["id"], r["score"]) for r in rows.collect()] == [("red", 3, 1.0)]
-    vectors = features.to_vectors(matrix.withColumn("id", F.length("feat")).where("line_id = 1"), ["line_id"], 5).first()
-    assert vectors["features"].toArray().tolist() == [0, 0, 0, 1.0, 0]
+    vectors = features.feature_vectors(matrix.withColumn("id", F.length("feat")).where("line_id = 1"), ["line_id"], 5)
+    assert vectors.first()["features"].toArray().tolist() == [0, 0, 0, 1.0, 0]
+    parts = vectors.select(features.vector_parts("features").alias("v")).select("v.*").first()
+    assert (parts["size"], parts["indices"], parts["values"]) == (5, [3], [1.0])
     with pytest.raises(Exception):
         parse_features(lines(spark, "yes\tred_:_abc"), ["line_id"]).collect()
 
@@ -96,6 +103,15 @@ def test_tagger(spark):
     assert [r["tag"] for r in got] == ["D", "N", "V", "V"]
     accuracy = tagger.tag_accuracy(model, contexts.withColumn("g", F.lit(1)), ["g"]).first()
     assert (accuracy["n_tok"], accuracy["accuracy"]) == (4, 1.0)
+    assert accuracy["loss"] == pytest.approx(0, abs=1e-5)
+    other = spark.createDataFrame([(0, ["can", "the", "new"], ["N", "D", "Q"])], "line_id long, words array<string>, tags array<string>")
+    scorer = tagger.TaggerScorer(["line_id"]).train(contexts)
+    judged = scorer.evaluate(tagger.with_context(other, ["line_id"], tags="tags")).first()
+    # After <s>, "can" is a verb in both; "the" is a determiner wherever it was seen; "new" and Q never were.
+    want = [0.0, 1.0, 0.0]
+    assert judged["loss"] == pytest.approx(sum(-math.log(p + 1e-6) for p in want) / 3)
+    assert judged["accuracy"] == pytest.approx(1 / 3)
+    assert scorer.classify(tagger.with_context(asked, ["line_id"])).count() == 4
     levels = {r["level"]: r["c"] for r in tagger.back_off_counts(model).groupBy("level").agg(F.sum("n").alias("c")).collect()}
     assert levels == {0: 4, 1: 4, 2: 4}
 
