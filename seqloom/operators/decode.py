@@ -16,10 +16,10 @@ from seqloom.functions.text import BOS, until
 from seqloom.operators.language_model import END_ID, NEVER_TARGET, UNK_ID, BigramModel, with_probability
 from seqloom.operators.lookup import lookup
 from seqloom.operators.vocabulary import gather
-from seqloom.session import fits, materialize
+from seqloom.session import fits, materialize, spread_small
 
 RANK_DIGITS = 9  # log scores that agree to here are ties and go to the lower id
-BLOCK_STEPS = 5  # beam steps between two written tables
+BLOCK_STEPS = 10  # beam steps between two written tables
 
 
 def states(model: BigramModel) -> DataFrame:
@@ -101,6 +101,7 @@ def beam_paths(model: BigramModel, beam: int, gen_limit: int = 50, bounded: bool
     )
     decided, step = [], 0
     while step < gen_limit:
+        table = spread_small(table, "state")
         for _ in range(min(BLOCK_STEPS, gen_limit - step)):
             step += 1
             table = _beam_step(table, joined, step, gen_limit, most if bounded else None)
@@ -133,7 +134,7 @@ def _beam_step(table: DataFrame, followers: DataFrame, step: int, gen_limit: int
     )
     grouped = spread.join(followers, "_last", "left").groupBy("state")
     kept = grouped.agg(F.first("room").alias("room"), F.first("best").alias("best"), F.flatten(F.collect_list(grown)).alias("_grown"))
-    kept = kept.withColumn("_kept", F.slice(F.array_sort("_grown"), F.lit(1), F.greatest("room", F.lit(0))))
+    kept = kept.withColumn("_kept", F.slice(F.sort_array("_grown"), F.lit(1), F.greatest("room", F.lit(0))))
     if step == gen_limit:
         return kept.select("state", F.col("_kept").alias("live"), "room", "best")
     is_end = lambda h: h["last"] == END_ID

@@ -388,7 +388,7 @@ short AS (
   UNION ALL
   SELECT s, 0, greatest(1.0 - coalesce(sum(p) FILTER (WHERE rank <= {SHORT}), 0), 0)
   FROM (SELECT DISTINCT s FROM {_LEX}) LEFT JOIN ranked USING (s) GROUP BY s),
-share AS (SELECT conv_id, turn, s, count(*) / CAST(sum(count(*)) OVER (PARTITION BY conv_id, turn) AS DOUBLE) AS a FROM es GROUP BY ALL),
+share AS (SELECT conv_id, turn, s, count(*) / CAST(sum(count(*)) OVER (PARTITION BY conv_id, turn) AS DOUBLE) AS a FROM es GROUP BY conv_id, turn, s),
 counts AS (SELECT t, count(*) AS n FROM et GROUP BY t),
 frequent AS (SELECT t FROM counts ORDER BY n DESC, t LIMIT {FREQUENT}),
 cand AS (
@@ -407,8 +407,8 @@ FROM biased JOIN tv ON tv.id = t""",
     "interpolate_scores": f"""WITH {sql.DOC_LINES}, {sql.TALK_LINES},
 {sql.pairs("dp", "doc_lines", "doc_id", sql.marked(sql.words("text")))},
 {sql.pairs("tp", "talk_lines", "conv_id", sql.marked(sql.words("text")))},
-d AS (SELECT prev, next, count(*) / CAST(sum(count(*)) OVER (PARTITION BY prev) AS DOUBLE) AS x FROM dp GROUP BY ALL),
-c AS (SELECT prev, next, count(*) / CAST(sum(count(*)) OVER (PARTITION BY prev) AS DOUBLE) AS y FROM tp GROUP BY ALL),
+d AS (SELECT prev, next, count(*) / CAST(sum(count(*)) OVER (PARTITION BY prev) AS DOUBLE) AS x FROM dp GROUP BY prev, next),
+c AS (SELECT prev, next, count(*) / CAST(sum(count(*)) OVER (PARTITION BY prev) AS DOUBLE) AS y FROM tp GROUP BY prev, next),
 merged AS (SELECT prev, next, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM d FULL JOIN c USING (prev, next))
 SELECT prev, next, round(ln((x + y) / 2), 6) AS ln_even,
   round(ln(x / (1 + exp(-1.5)) + y * (1 - 1 / (1 + exp(-1.5)))), 6) AS ln_lean FROM merged""",

@@ -60,6 +60,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def file_bytes(df: DataFrame) -> int:
     """Size of a table as the optimizer knows it: the bytes of its files. It starts no job, and
     as files are compressed it says how large a table is at least."""
