@@ -159,7 +159,7 @@ def links(classes: DataFrame, third_from: int = THIRD_FROM) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, third_from: int = THIRD_FROM) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     rows = materialize(fingerprints(docs, size), "fingerprints")
-    grouped = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    grouped = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = materialize(grouped, "classes")
     by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
     several = materialize(by_id.where("a <> b").select("doc_id", "a"), "ids")
@@ -170,6 +170,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, third_from: int
     linked = materialize(lookup(label, classes, ["fp"]), "linked")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = lookup(linked, least, ["component"]).select("fp", "least")
-    named = lookup(classes, named, ["fp"]).select("fp", F.coalesce("least", "first").alias("component_id"), "copies")
-    out = lookup(rows, materialize(named, "named"), ["fp"], weight="copies")
+    named = lookup(classes, named, ["fp"]).select("fp", F.coalesce("least", "first").alias("component_id"))
+    out = lookup(rows, materialize(named, "named"), ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

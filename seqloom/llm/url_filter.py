@@ -95,13 +95,13 @@ def with_suffix_statistics(urls: DataFrame) -> DataFrame:
     """Add how often a host's last label occurs, and how often its labelled urls are blocked.
 
     ``urls`` has ``suffix`` and ``label`` (1 block, 0 allow, null unlabelled). The counts cover all rows;
-    they are summed before the shuffle, and :func:`lookup` brings them back, frequent labels by broadcast.
+    they are summed before the shuffle, and :func:`lookup` brings them back, hot suffixes spread over many places.
     """
     blocked = F.coalesce(F.sum("label"), F.lit(0))
     counts = urls.groupBy("suffix").agg(
         F.count(F.lit(1)).alias("_n"), F.count("label").alias("_labelled"), blocked.alias("_blocked")
     )
-    joined = lookup(urls, materialize(counts, "suffixes"), ["suffix"], weight="_n")
+    joined = lookup(urls, materialize(counts, "suffixes"), ["suffix"])
     return joined.withColumns(
         {
             "suffix_log_count": F.log1p(F.coalesce("_n", F.lit(0))),

@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
     )
-    joined = lookup(keyed, materialize(same, "payloads"), ["digest"], weight="_n")
+    joined = lookup(keyed, materialize(same, "payloads"), ["digest"])
     refers = F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("page_id").isNull()), F.col("first"))
     rows = joined.select("page_id", "url", "html", F.when(F.col("size") >= min_bytes, refers).alias("refers_to"))
     schema = pa.schema([("archive", pa.string()), ("records", pa.int64())])
