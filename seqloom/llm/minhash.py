@@ -14,7 +14,9 @@ list still lie in different components do the remaining pairs across components
 Defined results: null, empty and blank texts have no shingle, are their own component and link with
 nothing; a text of fewer words than ``size`` is one shingle; repeated rows with one id share a component
 and are each returned, an id with several texts links what any of them is similar to; a null id has no
-component (null) and is kept; other columns are not read; an empty table gives no rows.
+component (null) and is kept; other columns are not read; an empty table gives no rows. The filter goes by texts:
+of an id with unlike texts each stays unless it is similar to another text, so no text is lost. Inside, a row
+is named by a 64-bit hash of its id and text.
 """
 
 from __future__ import annotations
@@ -73,25 +75,33 @@ def shingle_set(text: str, size: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(size))))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, text, known``: rows under the hash of their id and text, ``known`` is the id itself."""
+    own = id_and_text(docs, id_col)
+    return own.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("known"))
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig``; the digest stands for the whole set and is null for an empty one."""
+    """``doc_id, known, n_shingles, digest, sig`` of :func:`keyed` rows; the digest stands for the whole set and
+    is null for an empty one."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("sig", pa.list_(pa.int32()))]
+        [("doc_id", pa.int64()), ("known", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("sig", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
-            counts, digests, sigs = [], [], []
+        for rows, texts in text_slices(batches):
+            ids, known, counts, digests, sigs = [r["doc_id"] for r in rows], [r["known"] for r in rows], [], [], []
             for text in texts:
                 hashes = shingle_hashes(text, size)
                 counts.append(len(hashes))
                 full = len(hashes) > 0
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if full else None)
                 sigs.append(signature(hashes) if full else None)
-            columns = [pa.array(c, f.type) for c, f in zip((ids, counts, digests, sigs), schema)]
+            columns = [pa.array(c, f.type) for c, f in zip((ids, known, counts, digests, sigs), schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest string, sig array<int>")
+    given = docs.select(F.struct("doc_id", "known"), "text")
+    return given.mapInArrow(run, "doc_id long, known long, n_shingles long, digest string, sig array<int>")
 
 
 def _agreements(a: str, b: str) -> Column:
@@ -124,15 +134,16 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs ``a, b`` of ids whose full sets of words are similar enough.
+    """The pairs ``a, b`` of keys whose full sets of words are similar enough.
 
-    The join brings the pairs of one first id together, so that its set is built once for many pairs; a
-    frequent first id is split by adaptive execution. An id with several texts links if any of them does.
+    The join brings the pairs of one first key together, so that its set is built once for many pairs; a
+    frequent first key is split by adaptive execution.
     """
     part, whole = THRESHOLD
     pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(by_ids(id_and_text(docs), materialize(ends, "ends"), "doc_id", "left_semi"), "texts")
+    texts = by_ids(docs.select("doc_id", "text"), materialize(ends, "ends"), "doc_id", "left_semi")
+    texts = materialize(texts.dropDuplicates(["doc_id"]), "texts")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     joined = (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -235,7 +246,7 @@ def _possible(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(found).view(np.int64))], schema=schema)
 
     ids = materialize(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-    held = by_ids(id_and_text(docs), ids, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
+    held = by_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInArrow(run, "rep long, shingle long")
     # A repeated row holds its shingles again: ids are compared, not rows.
     alone = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
     counts = materialize(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own")
@@ -247,33 +258,67 @@ def _possible(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return marked.join(smallest, "token").where(could).drop("near", "least")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+def _grouped(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``doc_id, known, n_shingles, digest``, classes ``digest, rep, first``, and the links of the classes."""
     rows = materialize(signatures(docs, size), "signatures")
-    classes = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+    named = rows.where(F.col("digest").isNotNull() & F.col("known").isNotNull())
+    classes = named.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.min("known").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
     classes = materialize(classes, "classes")
-    # A repeated id with different texts names several classes; it links them itself.
-    found = links(classes, docs, size)
+    return rows.drop("sig"), classes.select("digest", "rep", "first"), links(classes.select("digest", "rep", "n", "sig"), docs, size)
+
+
+def _components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``digest, component, least``: the component of every class, and the smallest known id in it."""
     label = components(found).withColumnRenamed("node", "rep")
-    named = classes.select("digest", "rep").join(label, "rep", "left")
-    named = named.select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = materialize(named.select("digest", "first", "component"), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    return named.join(least, "component").select("digest", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    rows, classes, found = _grouped(keyed(docs), size)
+    by_id = rows.where("digest is not null and known is not null").groupBy("known").agg(F.min("digest").alias("one"), F.max("digest").alias("other"))
+    several = materialize(by_id.where("one <> other").select("known", "one"), "several")
+    if not several.isEmpty():  # the texts of one id belong together
+        ends = rows.join(several, "known").select("one", "digest").distinct().where("one <> digest")
+        reps = classes.select("digest", F.col("rep").alias("b"))
+        ends = ends.join(reps, "digest").join(classes.select(F.col("digest").alias("one"), F.col("rep").alias("a")), "one")
+        found = found.unionByName(ends.select("a", "b"))
+    out = rows.join(_components(classes, found), "digest", "left")
+    component = F.when(F.col("known").isNotNull(), F.coalesce("least", "known"))
+    return out.select(
+        F.col("known").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("known").eqNullSafe(component).alias("kept")
+    )
 
 
 def filter_documents(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, the one of the smallest id, with the columns it had."""
-    found = near_duplicates(docs, size)
-    kept = materialize(found, "near")
-    gone = materialize(kept.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    left = by_ids(docs, gone, id_col, "left_anti")
-    # Of rows that repeat an id one stays; only these are shuffled.
-    again = kept.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1")
-    again = materialize(again.select(id_col), "again")
-    if again.isEmpty():
-        return left
-    once = by_ids(left, again, id_col, "left_semi").dropDuplicates([id_col])
-    return by_ids(left, again, id_col, "left_anti").unionByName(once)
+    """Of each group of similar texts the one of the smallest id, with the columns it had.
+
+    Rows without a word or an id all stay. Every kept row is found by the hash of its id and text; of equal
+    rows one stays.
+    """
+    own = keyed(docs, id_col)
+    rows, classes, found = _grouped(own, size)
+    named = rows.where("known is not null and digest is not null").select(F.col("doc_id").alias("_key"), "known", "digest")
+    member = named.join(_components(classes, found), "digest")
+    # The smallest id of a group, of several rows under it the one of the smallest key.
+    kept = materialize(member.where("known = least").groupBy("component").agg(F.min("_key").alias("_key")), "kept")
+    gone = materialize(named.select("_key").distinct().join(kept.select("_key"), "_key", "left_anti"), "gone")
+    packed = own_rows(docs, id_col)
+    left = by_ids(packed, gone, "_key", "left_anti")
+    # Of equal rows one stays; only these are shuffled.
+    again = materialize(named.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    if not again.isEmpty():
+        once = by_ids(left, again, "_key", "left_semi").dropDuplicates(["_key"])
+        left = by_ids(left, again, "_key", "left_anti").unionByName(once)
+    return left.select(*[F.col("_own")[c].alias(c) for c in docs.columns])
+
+
+def own_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """``_key, _own``: every row as one struct under its key."""
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"))
