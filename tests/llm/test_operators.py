@@ -61,7 +61,8 @@ def _same_line(a, b):
     """The rule for two normalised lines: two equal blocks, few differing bits, few edits."""
     differ = _line_print(a.split()) ^ _line_print(b.split())
     blocks = sum(differ >> 12 * i & 4095 == 0 for i in range(5))
-    if blocks < 2 or differ.bit_count() > 12:
+    n, m = sorted((len(a.split()), len(b.split())))
+    if blocks < 2 or differ.bit_count() > 12 or (n + 1) // 8 < (m - 1) // 8:
         return False
     x, y = (a.split(), b.split()) if min(len(a.split()), len(b.split())) >= 40 else (a, b)
     return 5 * _edits(x, y) <= max(len(x), len(y))
