@@ -30,8 +30,8 @@ from seqloom.llm.common import fold, id_and_text, mix64, word_hashes
 from seqloom.session import materialize, scratch_path
 
 PARTS, HELD_OUT, DELETED = 7, 2, 3
-CHUNK_BYTES = 20 << 20
-SHARD_KEYS = 2 << 20
+CHUNK_BYTES = 12 << 20
+SHARD_KEYS = 1 << 20
 GRID = 4  # steps of the held-out histogram per power of two
 ROUNDS = 200
 
@@ -152,12 +152,10 @@ def _requests(chunks: DataFrame, bits: int) -> DataFrame:
                 t = _tokens(row)
                 train = t.part != HELD_OUT
                 total, main = t.counts(train), t.counts(train & (t.part != DELETED))
-                cuts = np.searchsorted(t.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for shard in range(1 << bits):
-                    a, b = cuts[shard], cuts[shard + 1]
-                    if a == b:
-                        continue
-                    values = (shard, row["chunk"], t.keys[a:b].view(np.int64), total[a:b], main[a:b])
+                shards = t.keys >> np.uint64(64 - bits)
+                starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))  # of the shards that are asked
+                for a, b in zip(starts, np.append(starts[1:], len(shards))):
+                    values = (int(shards[a]), row["chunk"], t.keys[a:b].view(np.int64), total[a:b], main[a:b])
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _REQUEST)], schema=_REQUEST)
 
     ddl = "shard int, chunk long, keys array<long>, total array<long>, main array<long>"
