@@ -10,7 +10,10 @@ import __spark_entry__ as entry
 from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = "scan_lines token_counts vocab_shared oov_tokens argmax_label label_check cross_entropy scan_parallel wraparound_fill".split()
+QUICK = """scan_lines tokenize token_counts vocab_fit vocab_shared encode_cut decode_ids oov_tokens argmax_label topk_ids
+softmax_scores nan_guard attention_pool label_check vector_split cross_entropy scan_parallel scan_features features_known
+feature_vectors bag_of_words tag_predict accuracy length_batches wraparound_fill seeded_shuffle stream_metrics stream_tag
+events_next alignment_header lexicon_fit interpolate_scores model_roundtrip""".split()
 NO_SQL: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
