@@ -15,8 +15,8 @@ Defined results: null, empty and blank texts have no shingle, are their own comp
 nothing; a text of fewer words than ``size`` is one shingle; repeated rows with one id share a component
 and are each returned, an id with several texts links what any of them is similar to; a null id has no
 component (null) and is kept; other columns are not read; an empty table gives no rows. The filter goes by texts:
-of an id with unlike texts each stays unless it is similar to another text, so no text is lost. Inside, a row
-is named by a 64-bit hash of its id and text.
+of an id with unlike texts each stays unless it is similar to another text, so no text is lost. Inside, the
+rows of such ids are named by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import by_ids, id_and_text, mix64, text_slices, word_hashes
 from seqloom.llm.components import components
-from seqloom.session import materialize
+from seqloom.session import fits, materialize
 
 K = 64
 T = 36  # at similarity 0.8 a pair has fewer agreements with a probability below 1e-5
@@ -75,33 +75,38 @@ def shingle_set(text: str, size: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(size))))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, text, known``: rows under the hash of their id and text, ``known`` is the id itself."""
-    own = id_and_text(docs, id_col)
-    return own.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("known"))
+def keyed(docs: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text, known, code``: rows under their id, or under a hash of id and text where ``several`` texts
+    have the id; ``known`` is the id itself."""
+    own = docs.withColumns({"known": F.col("doc_id").cast("long"), "code": F.xxhash64("text")})
+    if several is None:
+        return own.select(F.col("known").alias("doc_id"), "text", "known", "code")
+    marked = own.join(F.broadcast(several) if fits(several) else several, "known", "left")
+    key = F.when(F.col("one").isNotNull(), F.xxhash64("known", "code")).otherwise(F.col("known"))
+    return marked.select(key.alias("doc_id"), "text", "known", "code")
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, known, n_shingles, digest, sig`` of :func:`keyed` rows; the digest stands for the whole set and
+    """``known, code, n_shingles, digest, sig`` of every row; the digest stands for the whole set and
     is null for an empty one."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("known", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("sig", pa.list_(pa.int32()))]
+        [("known", pa.int64()), ("code", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("sig", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
-            ids, known, counts, digests, sigs = [r["doc_id"] for r in rows], [r["known"] for r in rows], [], [], []
+            known, codes, counts, digests, sigs = [r["known"] for r in rows], [r["code"] for r in rows], [], [], []
             for text in texts:
                 hashes = shingle_hashes(text, size)
                 counts.append(len(hashes))
                 full = len(hashes) > 0
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest() if full else None)
                 sigs.append(signature(hashes) if full else None)
-            columns = [pa.array(c, f.type) for c, f in zip((ids, known, counts, digests, sigs), schema)]
+            columns = [pa.array(c, f.type) for c, f in zip((known, codes, counts, digests, sigs), schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    given = docs.select(F.struct("doc_id", "known"), "text")
-    return given.mapInArrow(run, "doc_id long, known long, n_shingles long, digest string, sig array<int>")
+    given = keyed(docs).select(F.struct("known", "code"), "text")
+    return given.mapInArrow(run, "known long, code long, n_shingles long, digest string, sig array<int>")
 
 
 def _agreements(a: str, b: str) -> Column:
@@ -258,15 +263,26 @@ def _possible(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return marked.join(smallest, "token").where(could).drop("near", "least")
 
 
-def _grouped(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``doc_id, known, n_shingles, digest``, classes ``digest, rep, first``, and the links of the classes."""
+def _grouped(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Of ``doc_id, text``: rows ``doc_id, known, n_shingles, digest``, classes ``digest, rep, first``, the links of
+    the classes, and the ids with several texts, ``known, one``, if there are any."""
     rows = materialize(signatures(docs, size), "signatures")
-    named = rows.where(F.col("digest").isNotNull() & F.col("known").isNotNull())
-    classes = named.groupBy("digest").agg(
+    named = F.col("digest").isNotNull() & F.col("known").isNotNull()
+    by_id = rows.where(named).groupBy("known").agg(F.min("digest").alias("one"), F.max("digest").alias("other"))
+    several = materialize(by_id.where("one <> other").select("known", "one"), "several")
+    key = F.col("known")
+    if several.isEmpty():
+        several = None
+    else:
+        rows = rows.join(several, "known", "left")
+        key = F.when(F.col("one").isNotNull(), F.xxhash64("known", "code")).otherwise(key)
+    rows = rows.select(key.alias("doc_id"), "known", "n_shingles", "digest", "sig")
+    classes = rows.where(named).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.min("known").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
     classes = materialize(classes, "classes")
-    return rows.drop("sig"), classes.select("digest", "rep", "first"), links(classes.select("digest", "rep", "n", "sig"), docs, size)
+    found = links(classes.select("digest", "rep", "n", "sig"), keyed(docs, several), size)
+    return rows.drop("sig"), classes.select("digest", "rep", "first"), found, several
 
 
 def _components(classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -280,10 +296,8 @@ def _components(classes: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    rows, classes, found = _grouped(keyed(docs), size)
-    by_id = rows.where("digest is not null and known is not null").groupBy("known").agg(F.min("digest").alias("one"), F.max("digest").alias("other"))
-    several = materialize(by_id.where("one <> other").select("known", "one"), "several")
-    if not several.isEmpty():  # the texts of one id belong together
+    rows, classes, found, several = _grouped(id_and_text(docs), size)
+    if several is not None:  # the texts of one id belong together
         ends = rows.join(several, "known").select("one", "digest").distinct().where("one <> digest")
         reps = classes.select("digest", F.col("rep").alias("b"))
         ends = ends.join(reps, "digest").join(classes.select(F.col("digest").alias("one"), F.col("rep").alias("a")), "one")
@@ -298,27 +312,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 def filter_documents(docs: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
     """Of each group of similar texts the one of the smallest id, with the columns it had.
 
-    Rows without a word or an id all stay. Every kept row is found by the hash of its id and text; of equal
-    rows one stays.
+    Rows without a word or an id all stay; of rows with one id and one set of words one stays. The row travels as
+    one struct, so that no column of it can clash with a helper.
     """
-    own = keyed(docs, id_col)
-    rows, classes, found = _grouped(own, size)
-    named = rows.where("known is not null and digest is not null").select(F.col("doc_id").alias("_key"), "known", "digest")
+    rows, classes, found, several = _grouped(id_and_text(docs, id_col), size)
+    named = rows.where("known is not null and digest is not null").select(F.col("doc_id").alias("key"), "known", "digest")
     member = named.join(_components(classes, found), "digest")
     # The smallest id of a group, of several rows under it the one of the smallest key.
-    kept = materialize(member.where("known = least").groupBy("component").agg(F.min("_key").alias("_key")), "kept")
-    gone = materialize(named.select("_key").distinct().join(kept.select("_key"), "_key", "left_anti"), "gone")
-    packed = own_rows(docs, id_col)
-    left = by_ids(packed, gone, "_key", "left_anti")
+    kept = materialize(member.where("known = least").groupBy("component").agg(F.min("key").alias("key")), "kept")
+    gone = materialize(named.select("key").distinct().join(kept.select("key"), "key", "left_anti"), "gone")
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    left = by_ids(keyed_rows(whole, several), gone, "key", "left_anti")
     # Of equal rows one stays; only these are shuffled.
-    again = materialize(named.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    again = materialize(named.groupBy("key").count().where("count > 1").select("key"), "again")
     if not again.isEmpty():
-        once = by_ids(left, again, "_key", "left_semi").dropDuplicates(["_key"])
-        left = by_ids(left, again, "_key", "left_anti").unionByName(once)
-    return left.select(*[F.col("_own")[c].alias(c) for c in docs.columns])
-
-
-def own_rows(docs: DataFrame, id_col: str) -> DataFrame:
-    """``_key, _own``: every row as one struct under its key."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"))
+        once = by_ids(left, again, "key", "left_semi").dropDuplicates(["key"])
+        left = by_ids(left, again, "key", "left_anti").unionByName(once)
+    return left.select(*[F.col("own")[c].alias(c) for c in docs.columns])
+
+
+def keyed_rows(packed: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``key, own``: every packed row under the key of its text."""
+    known = F.col("doc_id").cast("long")
+    if several is None:
+        return packed.select(known.alias("key"), "own")
+    marked = packed.withColumn("known", known).join(F.broadcast(several) if fits(several) else several, "known", "left")
+    key = F.when(F.col("one").isNotNull(), F.xxhash64("known", F.xxhash64("text"))).otherwise(F.col("known"))
+    return marked.select(key.alias("key"), "own")
