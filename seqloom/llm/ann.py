@@ -140,7 +140,7 @@ class Projection:
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = whole.flatten()
-    if len(flat) == len(whole) * width and (pc.list_value_length(whole) == pa.scalar(width, pa.int32())).false_count == 0:
+    if len(flat) == len(whole) * width and pc.all(pc.equal(pc.list_value_length(whole), width)).as_py():
         return flat.to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
     rows = whole.to_pylist()
     out = np.zeros((len(rows), width))
