@@ -294,8 +294,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         )
         asked = materialize(routed.withColumn("block", block), "visits")
         # a cell is sent once to each block of queries that visits it
-        held = placed.join(asked.select("cell", "block").distinct(), "cell")
-        grouped = held.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block"))
+        held = placed.join(asked.select("cell", F.col("block").alias("turn")).distinct(), "cell")
+        grouped = held.groupBy("cell", "turn").cogroup(asked.groupBy("cell", "block"))
         return grouped.applyInArrow(lambda p, q: _search_cell(p, q, projection, k), "query_id long, vec_id long, score double")
 
     own = materialize(ask(queries.withColumn("floor", F.lit(None).cast("double")), False), "own-cell")
