@@ -28,7 +28,8 @@ from seqloom.session import materialize
 CAPACITY = 4096
 END_ID = 1
 SHARD_SEQUENCES = 8192
-CACHE_WORDS = 600_000  # bound of a worker's memory of encoded words; beyond it, that memory starts anew
+CACHE_WORDS = 300_000  # bound of a worker's memory of encoded words; beyond it, that memory starts anew
+SLICE_BYTES = 2 << 20  # of text that is cut into words at a time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         width = 4 * capacity
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             out: list[list[int | None]] = [[], [], [], [], []]
             for doc_id, code in zip(ids, enc.encode(texts)):
                 code += end
