@@ -14,6 +14,7 @@ are packed as often as they occur; a null id is packed like any other; an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +29,15 @@ from seqloom.session import materialize
 CAPACITY = 4096
 END_ID = 1
 SHARD_SEQUENCES = 8192
-CACHE_WORDS = 300_000  # bound of a worker's memory of encoded words; beyond it, that memory starts anew
-SLICE_BYTES = 2 << 20  # of text that is cut into words at a time
+CACHE_WORDS = 600_000  # bound of a worker's memory of encoded words; beyond it, that memory starts anew
+SLICE_BYTES = 4 << 20  # of text that is cut into words at a time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
 PLACED = PIECES + ", sequence_id long, offset long"
 
+_LAST_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -63,36 +65,19 @@ class WordEncoder:
     def cut(text: str) -> list[str]:
         if text.isascii() and "<|" not in text:
             text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        return _LAST_MARK.sub(r" \1", text).replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        waiting: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        for text in texts:
-            words = self.cut(text)
-            codes = list(map(self.known.get, words))
-            try:
-                out.append(b"".join(codes))
-            except TypeError:  # a word without a code
-                waiting.append((len(out), words))
-                new.update(w for w, code in zip(words, codes) if code is None)
-                out.append(b"")
+        split = [self.cut(t) for t in texts]
+        new = list(set().union(*split).difference(self.known)) if split else []
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {"": b""}
-            new = set().union(*(words for _, words in waiting)) - {""}
-        self._learn(new)
-        for i, words in waiting:
-            out[i] = b"".join(map(self.known.__getitem__, words))
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        """Codes of new words; one that ends in a single mark after a letter has the codes of both parts."""
-        marked = [w for w in new if w[-1] in ".," and "a" <= w[-2:-1] <= "z"]
-        plain = (new.difference(marked) | {w[:-1] for w in marked} | {w[-1] for w in marked}).difference(self.known)
-        self._add_letters([w for w in plain if w.isalpha()])
-        self._add([w for w in plain if w not in self.known])
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked)
+            new = list(set().union(*split) - {""})
+        letters = [w for w in new if w.isalpha()]
+        self._add_letters(letters)
+        self._add([w for w in new if w not in self.known])
+        code = self.known.__getitem__
+        return [b"".join(map(code, ws)) for ws in split]
 
     def _add(self, words: list[str]) -> None:
         for at in range(0, len(words), 50_000):
