@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import BOS
 from seqloom.operators.lookup import lookup
-from seqloom.session import fits, materialize
+from seqloom.session import materialize
 
 LOSS_EPS = 1e-6
 
@@ -61,41 +61,46 @@ def predict(model: DataFrame, contexts: DataFrame) -> DataFrame:
     return lookup(contexts, resolved, ["prev", "word"], how="inner").drop("n")
 
 
-def _shares(model: DataFrame, context: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of each tag in a context, and the totals of the contexts."""
-    counts = model.groupBy(*context, "tag").agg(F.sum("n").alias(name))
-    return counts, model.groupBy(*context).agg(F.sum("n").alias(f"{name}_all"))
-
-
-def tag_probability(model: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Add ``p`` to distinct rows ``prev, word, tag``: the tag's share in the longest context seen in training."""
-    out, terms = wanted, []
-    for context, name in ((["prev", "word"], "_n2"), (["word"], "_n1")):
-        counts, totals = _shares(model, context, name)
-        out = out.join(counts, [*context, "tag"], "left").join(totals, context, "left")
-        terms.append(F.when(F.col(f"{name}_all").isNotNull(), F.coalesce(name, F.lit(0)) / F.col(f"{name}_all")))
-    total = model.agg(F.sum("n")).first()[0]
-    tags = model.groupBy("tag").agg((F.sum("n") / F.lit(total)).alias("_n0"))
-    out = out.join(F.broadcast(tags) if fits(tags) else tags, "tag", "left")
-    return out.withColumn("p", F.coalesce(*terms, "_n0", F.lit(0.0))).select(*wanted.columns, "p")
-
-
 def tag_accuracy(model: DataFrame, contexts: DataFrame, group: list[str]) -> DataFrame:
     """``group, n_tok, accuracy, loss`` on tagged rows, from counts of distinct contexts; the loss is the mean
-    negative log probability of the given tags."""
+    negative log probability of the given tags, each its share in the longest context seen in training.
+
+    The model has each context and tag once, so it is joined as it is, and one table per context length has
+    the best tag beside the total.
+    """
     counted = contexts.groupBy(*group, "prev", "word", "tag").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(counted, "counted")
-    wanted = counted.groupBy("prev", "word").agg(F.sum("n").alias("n"))
-    guess = resolve(model, wanted).select("prev", "word", F.col("tag").alias("guess"))
-    odds = tag_probability(model, counted.select("prev", "word", "tag").distinct())
+    seen = model.groupBy("word", "tag").agg(F.sum("n").alias("n"))
+    seen = materialize(seen, "words")
+    tags = materialize(model.groupBy("tag").agg(F.sum("n").alias("n")), "tags")
+    total = tags.agg(F.sum("n")).first()[0]
+    overall = tags.orderBy(F.desc("n"), "tag").limit(1).select("tag").first()
+    longest = counted.join(model.withColumnRenamed("n", "_n2"), ["prev", "word", "tag"], "left")
+    longest = longest.join(_best_and_total(model, ["prev", "word"], "2"), ["prev", "word"], "left")
+    # The shorter context is asked for only where the longer one was never seen.
+    known = materialize(longest, "longest")
+    unseen = known.where(F.col("_all2").isNull())
+    unseen = lookup(unseen, seen.withColumnRenamed("n", "_n1"), ["word", "tag"])
+    unseen = lookup(unseen, materialize(_best_and_total(seen, ["word"], "1"), "best"), ["word"])
+    unseen = lookup(unseen, tags.withColumnRenamed("n", "_n0"), ["tag"])
+    share = lambda n, of: F.coalesce(n, F.lit(0)) / of
+    columns = [*group, "n", "tag"]
+    rows = known.where(F.col("_all2").isNotNull()).select(*columns, F.col("_tag2").alias("guess"), share("_n2", F.col("_all2")).alias("p"))
+    least = F.when(F.col("_all1").isNotNull(), share("_n1", F.col("_all1"))).otherwise(share("_n0", F.lit(total)))
+    guess = F.coalesce("_tag1", F.lit(overall[0] if overall else None))
+    rows = rows.unionByName(unseen.select(*columns, guess.alias("guess"), least.alias("p")))
     hit = F.when(F.col("tag") == F.col("guess"), F.col("n")).otherwise(0)
-    joined = counted.join(guess, ["prev", "word"]).join(odds, ["prev", "word", "tag"])
     nll = F.col("n") * -F.ln(F.col("p") + F.lit(LOSS_EPS))
-    return joined.groupBy(*group).agg(
+    return rows.groupBy(*group).agg(
         F.sum("n").alias("n_tok"), (F.sum(hit) / F.sum("n")).alias("accuracy"), (F.sum(nll) / F.sum("n")).alias("loss")
     )
 
 
+def _best_and_total(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("tag").alias("tag")))
+    found = counts.groupBy(*keys).agg(best.alias("_b"), F.sum("n").alias(f"_all{name}"))
+    return found.select(*keys, F.col("_b.tag").alias(f"_tag{name}"), f"_all{name}")
+
+
 class TaggerScorer:
     """The tagger as a :class:`~seqloom.operators.scorer.Scorer`: contexts with tags to train and evaluate on,
     contexts without to classify."""

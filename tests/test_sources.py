@@ -116,6 +116,19 @@ def test_tagger(spark):
     assert levels == {0: 4, 1: 4, 2: 4}
 
 
+def test_tag_accuracy_shuffles_each_context_seldom(spark, monkeypatch):
+    rows = [(0, ["the", "can"], ["D", "N"]), (1, ["can", "can"], ["V", "N"])]
+    lines_ = spark.createDataFrame(rows, "line_id long, words array<string>, tags array<string>")
+    contexts = tagger.with_context(lines_, ["line_id"], tags="tags")
+    model, plans = tagger.train_tagger(contexts), []
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    store = tagger.materialize
+    monkeypatch.setattr(tagger, "materialize", lambda df, name="table": plans.append(shuffles(df)) or store(df, name))
+    judged = tagger.tag_accuracy(model, contexts, ["line_id"])
+    assert sum(plans) + shuffles(judged) <= 8
+    assert {r["line_id"]: r["accuracy"] for r in judged.collect()} == {0: 1.0, 1: 1.0}
+
+
 def test_scorer(spark):
     def length(batch: pd.DataFrame) -> pd.DataFrame:
         return batch[["line_id"]].assign(score=batch["text"].str.len().astype(float))
