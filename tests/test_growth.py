@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.functions.text import sentence_marks, tokens
-from seqloom.operators import decode
+from seqloom.operators import decode, elements
 from seqloom.operators import language_model as lm
+from seqloom.operators import vocabulary as voc
 
 
 def make_lines(spark, texts):
@@ -38,3 +40,27 @@ def test_beam_steps_are_few_joins(model, monkeypatch):
     assert short.keys() == walked.keys()
     assert {k: v[0] for k, v in short.items()} == {k: v[0] for k, v in again.items()}
     assert all(short[k][1] == pytest.approx(again[k][1]) for k in short)
+
+
+def test_a_word_meets_the_vocabulary_once_per_unit(spark, monkeypatch):
+    """Encoding and decoding shuffle a word once per unit of lines and not at each place, whatever the table's size."""
+    monkeypatch.setattr("seqloom.operators.elements.fits", lambda table: False)
+    met = []
+    real = elements.materialize
+    monkeypatch.setattr(elements, "materialize", lambda df, name: met.append(real(df, name)) or met[-1])
+    fitted = spark.createDataFrame([("a", 7, 1), ("b", 8, 1)], "tok string, id int, n long")
+    lines = spark.createDataFrame([(1, 0, ["a", "b", None, "zz"] * 50), (1, 1, []), (2, 0, None), (3, 0, ["b"])], "doc_id long, line_no int, toks array<string>")
+    encoded = voc.encode_lines(lines.coalesce(1), ["doc_id", "line_no"], fitted)
+    got = {(r[0], r[1]): r[2] for r in encoded.collect()}
+    assert got == {(1, 0): [7, 8, 0, 0] * 50, (1, 1): [], (2, 0): [], (3, 0): [8]}
+    assert met[0].select(F.sum(F.size(F.coalesce("_held", F.array())))).first()[0] == 3
+    decoded = voc.decode_lines(encoded, ["doc_id", "line_no"], fitted).collect()
+    assert {(r[0], r[1]): r[2] for r in decoded} == {(1, 0): " ".join(["a b <UNK> <UNK>"] * 50), (1, 1): "", (2, 0): "", (3, 0): "b"}
+
+
+def test_units_of_elements(spark, monkeypatch):
+    monkeypatch.setattr(elements, "UNIT_ELEMENTS", 4)
+    rows = spark.createDataFrame([(i, [j % 5 for j in range(i)]) for i in range(12)], "k int, a array<int>")
+    table = spark.range(4).select(F.col("id").cast("int").alias("x"), (F.col("id") * 10).cast("string").alias("y"))
+    got = dict(elements.look_up_elements(rows.coalesce(2), ["k"], "a", table, None, "b").collect())
+    assert got == {i: [None if j % 5 == 4 else str(j % 5 * 10) for j in range(i)] for i in range(12)}
