@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import sentence_marks, tokens
-from seqloom.operators import decode, elements
+from seqloom.operators import decode, elements, lookup
 from seqloom.operators import language_model as lm
 from seqloom.operators import vocabulary as voc
 
@@ -64,3 +64,38 @@ def test_units_of_elements(spark, monkeypatch):
     table = spark.range(4).select(F.col("id").cast("int").alias("x"), (F.col("id") * 10).cast("string").alias("y"))
     got = dict(elements.look_up_elements(rows.coalesce(2), ["k"], "a", table, None, "b").collect())
     assert got == {i: [None if j % 5 == 4 else str(j % 5 * 10) for j in range(i)] for i in range(12)}
+
+
+def test_hot_keys_are_looked_for_once(lines, model, monkeypatch):
+    """Lookups by several keys read their facts once for hot keys, and not again behind each join."""
+    passes, search = [], lookup._hot_keys
+    monkeypatch.setattr(lookup, "_hot_keys", lambda facts, ons: passes.append((facts.columns, ons)) or search(facts, ons))
+    monkeypatch.setattr(lookup, "fits", lambda table, limit: False)
+    pairs = lm.pair_rows(lines, [])
+    numbered = lm.to_ids(pairs, model.vocabulary)
+    assert passes == [(pairs.columns, [["prev"], ["next"]])]
+    got = numbered.groupBy("prev_id", "next_id").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(r[0], r[1]): r[2] for r in model.bigrams.collect()}
+
+
+def test_training_on_ids(lines, model):
+    """Counting pairs of ids gives the model that counting pairs of words gives."""
+    vocabulary = lm.fit_words(lines, ["line_id"])
+    encoded = lm.encode(lines, ["line_id"], vocabulary)
+    by_ids = lm.train_encoded(encoded, vocabulary)
+    for name in ("vocabulary", "bigrams", "unigrams"):
+        assert sorted(map(tuple, getattr(by_ids, name).na.fill(-1).collect())) == sorted(map(tuple, getattr(model, name).na.fill(-1).collect()))
+    assert (by_ids.targets, by_ids.types) == (model.targets, model.types)
+    words = lm.corpus_loss(model, lm.pair_rows(lines.withColumn("g", F.lit(1)), ["g"]), ["g"], F.lit(1.0)).first()
+    ids = lm.corpus_loss(by_ids, lm.pair_rows(encoded.withColumn("g", F.lit(1)), ["g"], "ids"), ["g"], F.lit(1.0)).first()
+    assert ids["loss"] == pytest.approx(words["loss"]) and ids["n_tok"] == words["n_tok"]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_successors_stand_once(model, k):
+    """A seen word of the short list is ranked once, with its count."""
+    rows = decode.top_successors(model, k).collect()
+    assert len({(r["prev"], r["next"]) for r in rows}) == len(rows)
+    assert sorted((r["prev"], r["rank"]) for r in rows) == [(s, i) for s in sorted({r["prev"] for r in rows}) for i in range(1, min(k, model.types) + 1)]
+    exact = {(r["prev"], r["next"]): r["p"] for r in lm.with_probability(model, model.bigrams, "prev", "next").collect()}
+    assert all(r["p"] == pytest.approx(exact[r["prev"], r["next"]]) for r in rows if (r["prev"], r["next"]) in exact)
