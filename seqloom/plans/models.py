@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import tokens
 from seqloom.operators import batching, model_store, tagger
 from seqloom.operators import language_model as lm
+from seqloom.operators.elements import look_up_elements
 from seqloom.operators.index import dense_index
 from seqloom.operators.scorer import score_batches
-from seqloom.operators.vocabulary import encode_tokens, gather
 from seqloom.plans import sql
 from seqloom.plans.features import document_contexts
-from seqloom.plans.language import bigram_report, document_model, document_pairs, rounded_losses
+from seqloom.plans.language import bigram_report, document_model, rounded_losses
 from seqloom.plans.text import document_vocabulary, id_text, marked_lines
 from seqloom.session import materialize, scratch_path
 from seqloom.sources import model_dir
@@ -88,11 +88,10 @@ def spec_roundtrip(spark, folder):
 def model_roundtrip(spark, folder):
     """Two different epochs are saved and a third is broken off; the newest whole one is rebuilt from disk."""
     path = scratch_path(spark, "model")
-    pairs = document_pairs(spark, folder)
-    seq = ("doc_id", "line_no", "pos")
-    model_store.save(lm.train(pairs.where(F.col("lang") == "en"), seq, cut=3), path, 1)
-    model_store.save(lm.train(pairs, seq), path, 2)
-    model_store.save(lm.train(pairs, seq, cut=2), path, 3, commit=False)
+    lines = marked_lines(document_lines(spark, folder))
+    model_store.save(lm.train_lines(lines.where(F.col("lang") == "en"), KEYS, cut=3), path, 1)
+    model_store.save(lm.train_lines(lines, KEYS), path, 2)
+    model_store.save(lm.train_lines(lines, KEYS, cut=2), path, 3, commit=False)
     return bigram_report(model_store.load(spark, path))
 
 
@@ -105,10 +104,10 @@ def unigram_score(batch: pd.DataFrame) -> pd.DataFrame:
 def score_with_udf(spark, folder):
     fitted = document_vocabulary(spark, folder)
     total = fitted.agg(F.sum("n")).first()[0]
-    lines = document_lines(spark, folder).select(*KEYS, F.posexplode_outer(tokens("text")).alias("pos", "tok"))
+    lines = document_lines(spark, folder).select(*KEYS, tokens("text").alias("toks"))
     # Words below the cut were seen once.
-    counted = encode_tokens(lines, fitted.select("tok", F.col("n").alias("id")), unk=1)
-    rows = gather(counted, KEYS, "pos", "id", "counts").withColumn("total", F.lit(total))
+    counted = look_up_elements(lines, KEYS, "toks", fitted.select("tok", "n"), 1, "counts")
+    rows = counted.withColumn("total", F.lit(total))
     scored = score_batches(rows, unigram_score, "doc_id long, line_no int, score double")
     return scored.withColumn("score", F.round("score", 4))
 

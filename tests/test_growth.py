@@ -99,3 +99,16 @@ def test_successors_stand_once(model, k):
     assert sorted((r["prev"], r["rank"]) for r in rows) == [(s, i) for s in sorted({r["prev"] for r in rows}) for i in range(1, min(k, model.types) + 1)]
     exact = {(r["prev"], r["next"]): r["p"] for r in lm.with_probability(model, model.bigrams, "prev", "next").collect()}
     assert all(r["p"] == pytest.approx(exact[r["prev"], r["next"]]) for r in rows if (r["prev"], r["next"]) in exact)
+
+
+def test_saved_models_and_scores_join_no_occurrence(spark, monkeypatch):
+    """Neither counts pairs of words nor looks each place of a word up."""
+    from seqloom.plans import models
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a row for each place of a word met a table")
+
+    monkeypatch.setattr(lm, "to_ids", refuse)
+    monkeypatch.setattr(voc, "lookup", refuse)
+    assert models.model_roundtrip(spark, "/root/testdata/sf0.001").count()
+    assert models.score_with_udf(spark, "/root/testdata/sf0.001").count()
