@@ -9,6 +9,7 @@ from seqloom.functions.text import sentence_marks, tokens
 from seqloom.operators import decode, elements, lookup
 from seqloom.operators import language_model as lm
 from seqloom.operators import vocabulary as voc
+from seqloom.sources import corpus
 
 
 def make_lines(spark, texts):
@@ -112,3 +113,12 @@ def test_saved_models_and_scores_join_no_occurrence(spark, monkeypatch):
     monkeypatch.setattr(voc, "lookup", refuse)
     assert models.model_roundtrip(spark, "/root/testdata/sf0.001").count()
     assert models.score_with_udf(spark, "/root/testdata/sf0.001").count()
+
+
+def test_feature_lines_are_parsed_once(spark):
+    """Label and entries of a line are found under the generator; above it, each entry would split the whole line again."""
+    df = spark.createDataFrame([(0, "yes\tred_:_1.5 big_:_2"), (1, "no"), (2, "no\t"), (3, "no\tbig_:_1")], "line_id long, text string")
+    parsed = corpus.parse_features(df.where("line_id <> 1"), ["line_id"])
+    above, below = parsed._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert "\t" not in above and below.count("split(text") == 1 and below.count("\\s") == 1
+    assert sorted(map(tuple, parsed.collect())) == [(0, "yes", 0, "red", 1.5), (0, "yes", 1, "big", 2.0), (3, "no", 0, "big", 1.0)]
