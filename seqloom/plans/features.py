@@ -11,6 +11,7 @@ from seqloom.operators import tagger
 from seqloom.operators.vocabulary import fit_vocabulary
 from seqloom.plans import sql
 from seqloom.plans.text import id_text
+from seqloom.session import materialize
 from seqloom.sources import tables
 from seqloom.sources.corpus import parse_features, parse_labelled_text, parse_tagged
 
@@ -59,8 +60,7 @@ def feature_matrix(spark, folder):
     return feat.feature_matrix(parsed, ["doc_id", "label"])
 
 
-def feature_vocabulary(spark, folder):
-    parsed = parse_features(tables.feature_texts(spark, folder), ["doc_id"])
+def feature_vocabulary(parsed: DataFrame) -> DataFrame:
     return fit_vocabulary(parsed, ("doc_id", "pos"), TRANSLATION_MARKERS, cut=None, token="feat")
 
 
@@ -69,7 +69,8 @@ def features_known(spark, folder):
     entry = F.transform(tokens("text"), lambda w: F.concat(w, F.lit(SCORE_SEPARATOR), F.lit("1")))
     items = tables.table(spark, folder, "benchmark").select("item_id", F.array_join(entry, " ").alias("text"))
     matrix = feat.feature_matrix(parse_features(items, ["item_id"], labelled=False), ["item_id"])
-    return feat.known_features(matrix, feature_vocabulary(spark, folder))
+    parsed = parse_features(tables.feature_texts(spark, folder), ["doc_id"])
+    return feat.known_features(matrix, feature_vocabulary(parsed))
 
 
 def scan_labelled_text(spark, folder):
@@ -84,8 +85,8 @@ def bag_of_words(spark, folder):
 
 def feature_vectors(spark, folder):
     """The weighted features of the labelled documents as sparse vectors, and their stored parts as text."""
-    parsed = parse_features(tables.feature_texts(spark, folder), ["doc_id"])
-    vocabulary = feature_vocabulary(spark, folder)
+    parsed = materialize(parse_features(tables.feature_texts(spark, folder), ["doc_id"]), "features")
+    vocabulary = feature_vocabulary(parsed)
     known = feat.known_features(feat.feature_matrix(parsed, ["doc_id", "label"]), vocabulary)
     made = feat.feature_vectors(known, ["doc_id", "label"], vocabulary.count())
     parts = made.select("doc_id", "label", feat.vector_parts("features").alias("v"))
