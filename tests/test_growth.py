@@ -122,3 +122,27 @@ def test_feature_lines_are_parsed_once(spark):
     above, below = parsed._jdf.queryExecution().optimizedPlan().toString().split("Generate")
     assert "\t" not in above and below.count("split(text") == 1 and below.count("\\s") == 1
     assert sorted(map(tuple, parsed.collect())) == [(0, "yes", 0, "red", 1.5), (0, "yes", 1, "big", 2.0), (3, "no", 0, "big", 1.0)]
+
+
+@pytest.mark.parametrize("part_words", [16 << 20, 5])
+def test_lexicon_counts_shuffle_no_cells(spark, monkeypatch, part_words):
+    """Words that meet are counted in the blocks of their target word, also where a word's sentences are cut by pair."""
+    from seqloom.operators import translation
+    from seqloom.plans.translation import lexicon_lines
+    from seqloom.sources.corpus import parse_lexicon
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a row for each pair of words")
+
+    monkeypatch.setattr(translation, "cells", refuse)
+    monkeypatch.setattr(translation, "PART_WORDS", part_words)
+    rng = random.Random(3)
+    texts = [tuple(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 6))) for _ in "st") for _ in range(30)] * 2 + [("A b", "x\ny x")]
+    want, total = {}, {}
+    for src, trg in texts:
+        for s in set(src.lower().split()):
+            for t in set(trg.lower().split()):
+                want[t, s] = want.get((t, s), 0) + 1
+                total[s] = total.get(s, 0) + 1
+    rows = parse_lexicon(lexicon_lines(spark.createDataFrame(texts, "src string, trg string")), []).collect()
+    assert {(r["trg"], r["src"]): r["prob"] for r in rows} == {k: n / total[k[1]] for k, n in want.items()} and len(rows) == len(want)
