@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input."""
 
+import collections
 import random
 
 import pytest
@@ -92,6 +93,30 @@ def test_training_on_ids(lines, model):
     assert ids["loss"] == pytest.approx(words["loss"]) and ids["n_tok"] == words["n_tok"]
 
 
+def test_pairs_of_ids_travel_in_sorted_runs(spark, monkeypatch):
+    """Pairs are counted before they are shuffled, in order, and none reaches across sentences; the model lies in order."""
+    monkeypatch.setattr(lm, "RUN_IDS", 6)
+    sentences = [[3, 4], [], [3, 5, 6, 4], [7], [3, 5, 6, 5, 6, 4], [], [3, 4], [3, 5, 4]]
+    batches = [lm.pa.RecordBatch.from_arrays([lm.pa.array(part, lm.pa.list_(lm.pa.int32()))], ["ids"]) for part in (sentences[:3], [], sentences[3:])]
+    runs = [r.to_pydict() for r in lm._counted_runs()(iter([b.slice(0) for b in batches]))]
+    found = collections.Counter()
+    for r in runs:
+        pairs = list(zip(r["prev"], r["next"]))
+        assert pairs == sorted(set(pairs))
+        found.update(dict(zip(pairs, r["n"])))
+    assert len(runs) == 1 and found == collections.Counter(p for s in sentences for p in zip(s, s[1:]))
+    sliced = lm.pa.RecordBatch.from_arrays([lm.pa.array(sentences, lm.pa.list_(lm.pa.int32()))], ["ids"]).slice(2, 3)
+    assert sum(sum(r.to_pydict()["n"]) for r in lm._counted_runs()(iter([sliced]))) == 8
+    encoded = spark.createDataFrame([(s,) for s in sentences * 3], "ids array<int>")
+    vocabulary = spark.createDataFrame([(t, i, 1) for i, t in enumerate("abcdefgh")], "tok string, id int, n long")
+    model = lm.train_encoded(encoded, vocabulary)
+    assert {(r["prev"], r["next"]): r["n"] for r in model.bigrams.collect()} == {p: 3 * n for p, n in found.items()}
+    laid = model.bigrams.withColumn("file", F.input_file_name()).collect()
+    for name in {r["file"] for r in laid}:
+        of_file = [(r["prev"], r["next"]) for r in laid if r["file"] == name]
+        assert of_file == sorted(of_file)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_successors_stand_once(model, k):
     """A seen word of the short list is ranked once, with its count."""
