@@ -22,8 +22,13 @@ def with_context(lines: DataFrame, keys: list[str], words: str = "words", tags:
 
 
 def train_tagger(contexts: DataFrame) -> DataFrame:
-    """``prev, word, tag, n``; the shorter contexts are sums over this table."""
-    return materialize(contexts.groupBy("prev", "word", "tag").agg(F.count(F.lit(1)).alias("n")), "tagger")
+    """``prev, word, tag, n``; the shorter contexts are sums over this table.
+
+    Rows lie in the order of their contexts in each file: neighbours share words, so the table and its shuffles
+    compress well.
+    """
+    counted = contexts.groupBy("prev", "word", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counted.sortWithinPartitions("prev", "word"), "tagger")
 
 
 def back_off_counts(model: DataFrame) -> DataFrame:

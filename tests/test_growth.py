@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import sentence_marks, tokens
-from seqloom.operators import decode, elements, lookup
+from seqloom.operators import decode, elements, lookup, tagger
 from seqloom.operators import language_model as lm
 from seqloom.operators import vocabulary as voc
 from seqloom.sources import corpus
@@ -171,3 +171,18 @@ def test_lexicon_counts_shuffle_no_cells(spark, monkeypatch, part_words):
                 total[s] = total.get(s, 0) + 1
     rows = parse_lexicon(lexicon_lines(spark.createDataFrame(texts, "src string, trg string")), []).collect()
     assert {(r["trg"], r["src"]): r["prob"] for r in rows} == {k: n / total[k[1]] for k, n in want.items()} and len(rows) == len(want)
+
+
+def in_file_order(table, *keys):
+    """Whether the rows of each file of a written table are in the order of ``keys``."""
+    rows = table.select(F.input_file_name().alias("file"), *keys).collect()
+    files = [[tuple(r[1:]) for r in rows if r["file"] == name] for name in {r["file"] for r in rows}]
+    return len(rows) > len(files) and all(f == sorted(f) for f in files)
+
+
+def test_tagger_lies_in_the_order_of_contexts(spark):
+    words = [f"w{i * 7919 % 101}" for i in range(600)]
+    docs = spark.createDataFrame([(1, words[:300], ["x"] * 300), (2, words[300:], ["y"] * 300)], "k int, words array<string>, tags array<string>")
+    model = tagger.train_tagger(tagger.with_context(docs, ["k"], tags="tags"))
+    assert in_file_order(model, "prev", "word")
+    assert model.agg(F.sum("n")).first()[0] == 600
