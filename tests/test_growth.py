@@ -10,6 +10,7 @@ from seqloom.functions.text import sentence_marks, tokens
 from seqloom.operators import decode, elements, lookup, tagger
 from seqloom.operators import language_model as lm
 from seqloom.operators import vocabulary as voc
+from seqloom.plans import translation
 from seqloom.sources import corpus
 
 
@@ -186,3 +187,12 @@ def test_tagger_lies_in_the_order_of_contexts(spark):
     model = tagger.train_tagger(tagger.with_context(docs, ["k"], tags="tags"))
     assert in_file_order(model, "prev", "word")
     assert model.agg(F.sum("n")).first()[0] == 600
+
+
+def test_following_words_lie_in_order(spark, monkeypatch):
+    met, real = {}, translation.materialize
+    monkeypatch.setattr(translation, "materialize", lambda df, name: met.setdefault(name, real(df, name)))
+    text = " ".join(f"w{i * 7919 % 101}" for i in range(600))
+    shares = translation.next_word_shares(spark.createDataFrame([(text,), ("w1 w2",)], "text string"))
+    assert in_file_order(met["following"], "prev", "next")
+    assert shares.where("prev = '<s>'").agg(F.sum("p")).first()[0] == pytest.approx(1.0)
