@@ -70,8 +70,8 @@ def tag_accuracy(model: DataFrame, contexts: DataFrame, group: list[str]) -> Dat
     """``group, n_tok, accuracy, loss`` on tagged rows, from counts of distinct contexts; the loss is the mean
     negative log probability of the given tags, each its share in the longest context seen in training.
 
-    The model has each context and tag once, so it is joined as it is, and one table per context length has
-    the best tag beside the total.
+    The longest contexts are joined once, each with the list of its tags and their counts; one table of the shorter contexts
+    has the best tag beside the total.
     """
     counted = contexts.groupBy(*group, "prev", "word", "tag").agg(F.count(F.lit(1)).alias("n"))
     seen = model.groupBy("word", "tag").agg(F.sum("n").alias("n"))
@@ -79,8 +79,13 @@ def tag_accuracy(model: DataFrame, contexts: DataFrame, group: list[str]) -> Dat
     tags = materialize(model.groupBy("tag").agg(F.sum("n").alias("n")), "tags")
     total = tags.agg(F.sum("n")).first()[0]
     overall = tags.orderBy(F.desc("n"), "tag").limit(1).select("tag").first()
-    longest = counted.join(model.withColumnRenamed("n", "_n2"), ["prev", "word", "tag"], "left")
-    longest = longest.join(_best_and_total(model, ["prev", "word"], "2"), ["prev", "word"], "left")
+    listed = model.groupBy("prev", "word").agg(F.collect_list(F.struct("tag", "n")).alias("_tags"))
+    longest = counted.join(listed, ["prev", "word"], "left")
+    best = F.array_min(F.transform("_tags", lambda x: F.struct((-x["n"]).alias("n"), x["tag"].alias("tag"))))["tag"]
+    # A tag that the context does not have is a null, as from a join.
+    own = F.filter("_tags", lambda x: x["tag"] == F.col("tag"))
+    whole = F.aggregate("_tags", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    longest = longest.select(*group, "word", "tag", "n", best.alias("_tag2"), F.get(own, F.lit(0))["n"].alias("_n2"), whole.alias("_all2"))
     # The shorter context is asked for only where the longer one was never seen.
     known = materialize(longest, "longest")
     unseen = known.where(F.col("_all2").isNull())

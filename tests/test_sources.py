@@ -13,6 +13,7 @@ from seqloom.sources.corpus import (
     parallel,
     parse_features,
     parse_labelled_text,
+    parse_lexicon,
     read_lines,
     scale_vectors,
     split_by_position,
@@ -129,6 +130,27 @@ def test_tag_accuracy_shuffles_each_context_seldom(spark, monkeypatch):
     assert {r["line_id"]: r["accuracy"] for r in judged.collect()} == {0: 1.0, 1: 1.0}
 
 
+def test_tag_accuracy_joins_the_longest_contexts_once(spark, monkeypatch):
+    lines_ = spark.createDataFrame([(0, ["a", "b"], ["D", "N"]), (1, ["a", "b"], ["D", "V"]), (2, ["a", "b"], ["D", "V"])], "line_id long, words array<string>, tags array<string>")
+    contexts = tagger.with_context(lines_, ["line_id"], tags="tags")
+    model, plans, store = tagger.train_tagger(contexts), {}, tagger.materialize
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    monkeypatch.setattr(tagger, "materialize", lambda df, name="table": plans.update({name: joins(df)}) or store(df, name))
+    judged = {r["line_id"]: r for r in tagger.tag_accuracy(model, contexts, ["line_id"]).collect()}
+    assert plans["longest"] == 1
+    assert [judged[i]["accuracy"] for i in range(3)] == [0.5, 1.0, 1.0]
+    assert judged[0]["loss"] == pytest.approx(-(math.log(1 + 1e-6) + math.log(1 / 3 + 1e-6)) / 2)
+
+
+def test_lexicon_lines_are_split_once(spark):
+    """However many columns are read and whatever filters a join adds."""
+    text = spark.createDataFrame([("x  a 0.5",), (" y b 1",)], "text string").repartition(2)
+    known = spark.createDataFrame([("x", 1), ("y", 2)], "trg string, id int").repartition(2)
+    named = parse_lexicon(text, []).join(known, "trg").where("src is not null")
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, named.collect())) == [("x", "a", 0.5, 1), ("y", "b", 1.0, 2)]
+
+
 def test_scorer(spark):
     def length(batch: pd.DataFrame) -> pd.DataFrame:
         return batch[["line_id"]].assign(score=batch["text"].str.len().astype(float))
